@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def col(c: str | Column) -> Column:
@@ -14,7 +15,24 @@ def col(c: str | Column) -> Column:
 
 def canon(c: str | Column) -> Column:
     """Canonical text of a code: trimmed, ``99.0`` and ``99`` are the same code."""
-    return F.regexp_replace(F.trim(col(c).cast("string")), r"\.0+$", "")
+    text = F.trim(col(c).cast("string"))
+    # The pattern only runs on the few values that have a point at all.
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.0+$", "")).otherwise(text)
+
+
+def code_in(df: DataFrame, name: str, codes: list[str]) -> Column:
+    """Is the code one of ``codes``; numeric columns are compared as numbers."""
+    if isinstance(df.schema[name].dataType, NumericType):
+        numbers = [float(c) for c in codes if _is_number(c)]
+        return F.col(name).isin(*numbers) if numbers else F.lit(False)
+    return canon(name).isin(*codes) if codes else F.lit(False)
+
+
+def _is_number(text: str) -> bool:
+    try:
+        return float(text) == float(text)
+    except ValueError:
+        return False
 
 
 def number(c: str | Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import settings
-from tallyspark.functions.columns import canon, number
+from tallyspark.functions.columns import canon, code_in, number
 from tallyspark.sources.rules import RuleSet
 
 
@@ -17,13 +17,13 @@ def require_columns(df: DataFrame, columns: list[str] = settings.REQUIRED_COLUMN
     return df
 
 
-def _by_year(rules: dict[str, object], year: str, use) -> Column | None:
+def _by_year(df: DataFrame, rules: dict[str, object], year: str, use) -> Column | None:
     """CASE over years: a year's own rule first, the ALL rule otherwise."""
     fallback = use(rules["ALL"]) if "ALL" in rules else None
     chosen = None
     for key, rule in rules.items():
         if key != "ALL":
-            test = canon(year) == key
+            test = code_in(df, year, [key])
             chosen = F.when(test, use(rule)) if chosen is None else chosen.when(test, use(rule))
     if chosen is None:
         return fallback
@@ -38,9 +38,7 @@ def apply_missing_rules(df: DataFrame, rules: RuleSet, year: str = settings.YEAR
         if not by_year:
             columns.append(F.col(name))
             continue
-        listed = _by_year(
-            by_year, year, lambda codes: canon(name).isin(*codes) if codes else F.lit(False)
-        )
+        listed = _by_year(df, by_year, year, lambda codes: code_in(df, name, codes))
         hit = F.col(year).isNotNull() & F.coalesce(listed, F.lit(False))
         columns.append(F.when(~hit, F.col(name)).alias(name))
     return df.select(*columns)
@@ -81,7 +79,7 @@ def harmonize(
         by_year = rules.mapping.get(name)
         mapped = None
         if by_year:
-            mapped = _by_year(by_year, year, lambda codes: _lookup(raw, codes))
+            mapped = _by_year(df, by_year, year, lambda codes: _lookup(raw, codes))
         added[f"{name}_H"] = raw if mapped is None else F.coalesce(mapped, raw)
     return df.withColumns(added) if added else df
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.plans.survey import Survey
+from tallyspark.session import spread
 from tallyspark.sources.rules import RuleSet
 
 # Person columns as SQL text that reads the same in Spark and in the oracle engine.
@@ -58,7 +59,9 @@ def census(lines: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFra
 
 
 def read_census(spark: SparkSession, folder: str) -> DataFrame:
-    return census(*[table(spark, folder, t) for t in ["lineitem", "orders", "customer"]])
+    needed = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag"]
+    lines = spread(table(spark, folder, "lineitem").select(*needed))
+    return census(lines, table(spark, folder, "orders"), table(spark, folder, "customer"))
 
 
 _surveys: dict[tuple[str, str], Survey] = {}

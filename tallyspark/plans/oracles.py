@@ -101,8 +101,8 @@ def component_ctes(prefix: str, source: str, specs: dict[int, list[str]], keys:
         ),
         (
             f"{p}_score",
-            # Rounded: addition order must not split equal scores.
-            f"SELECT {keys}, round(sum(z * w), 10) AS score FROM (SELECT z.*, l.w FROM {p}_z z JOIN {p}_lead l ON z.YEAR = l.YEAR AND z.var = l.i) "
+            # Summed in a fixed order, so that equal rows get equal scores to the last digit.
+            f"SELECT {keys}, list_sum(list(z * w ORDER BY var)) AS score FROM (SELECT z.*, l.w FROM {p}_z z JOIN {p}_lead l ON z.YEAR = l.YEAR AND z.var = l.i) "
             f"GROUP BY {keys}",
         ),
     ]

@@ -25,8 +25,8 @@ class Survey:
 
     @cached_property
     def harmonized(self) -> DataFrame:
-        """Narrow stage, left unstored: a reader that needs few columns scans few columns."""
-        return clean_and_harmonize(self.raw, self.rules)
+        """The harmonised master, written once by year; readers scan only the columns they need."""
+        return stage(clean_and_harmonize(self.raw, self.rules), "master", by=["YEAR"])
 
     @cached_property
     def persons(self) -> DataFrame:

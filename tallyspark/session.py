@@ -63,3 +63,12 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows of {what}; this operator needs a bounded number")
     return rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when its files give fewer splits than there are.
+
+    Large inputs have more splits than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
