@@ -110,9 +110,10 @@ def hash_unit(seed: int | str, *keys: str | Column) -> Column:
     return hash_word(seed, *keys).cast("double") / F.lit(float(16**8))
 
 
-def hash_word(seed: int | str, *keys: str | Column) -> Column:
+def hash_word(seed: int | str, *keys: str | Column, digits: int = 8) -> Column:
+    """Leading hexadecimal digits of the md5 of seed and key, as a number."""
     text = F.md5(hash_text(seed, *keys).cast("binary"))
-    return F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(text, 1, digits), 16, 10).cast("bigint")
 
 
 def hash_text(seed: int | str, *keys: str | Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import number
+from tallyspark.functions.joins import skew_join
 from tallyspark.session import stage
 
 WINDOW_CELLS = 2_000_000
@@ -109,10 +110,10 @@ def quantiles_of_cells(
 
 def average_ranks(cells: DataFrame, keys: list[str], value: str, n: str, out: str) -> DataFrame:
     """Rank of each distinct value, ties sharing their average rank."""
-    ranked = running_totals(cells.select(*keys, value, n), keys, value, [n])
-    return ranked.select(
-        *keys, value, (F.col(f"cum_{n}") - F.col(n) + (F.col(n) + 1) / 2).alias(out), F.col(f"tot_{n}").alias("_total")
-    )
+    ranked = running_totals(cells, keys, value, [n])
+    extra = [c for c in cells.columns if c not in (*keys, value, n)]
+    rank = F.col(f"cum_{n}") - F.col(n) + (F.col(n) + 1) / 2
+    return ranked.select(*keys, value, rank.alias(out), F.col(f"tot_{n}").alias("_total"), *extra)
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, count: Column | None = None) -> DataFrame:
@@ -124,9 +125,15 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, count: Column | Non
     )
     for key in keys:
         pairs = pairs.filter(F.col(key).isNotNull())
-    ranks_a = average_ranks(value_cells(pairs, keys, "_a", {"_n": F.col("_n")}), keys, "_a", "_n", "_ra")
-    ranks_b = average_ranks(value_cells(pairs, keys, "_b", {"_n": F.col("_n")}), keys, "_b", "_n", "_rb").drop("_total")
-    ranked = pairs.join(ranks_a, [*keys, "_a"]).join(ranks_b, [*keys, "_b"])
+    def ranks(side: str, out: str) -> DataFrame:
+        cells = value_cells(pairs, keys, side, {"_n": F.col("_n"), "_cells": F.lit(1)})
+        return average_ranks(cells, keys, side, "_n", out)
+
+    # One value may pair with very many others: the number of pair cells per value is known.
+    ranked = skew_join(pairs, ranks("_a", "_ra").withColumnRenamed("_cells", "_ka"), [*keys, "_a"], "_ka", "inner")
+    ranked = skew_join(
+        ranked.drop("_ka"), ranks("_b", "_rb").withColumnRenamed("_cells", "_kb").drop("_total"), [*keys, "_b"], "_kb", "inner"
+    )
     da = F.col("_ra") - (F.col("_total") + 1) / 2
     db = F.col("_rb") - (F.col("_total") + 1) / 2
     sums = ranked.groupBy(*keys).agg(

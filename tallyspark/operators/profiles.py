@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark import settings
@@ -194,8 +194,11 @@ def rank_models(comparison: DataFrame, score: str = "macro_f1") -> DataFrame:
     )
 
 
-def top_rows(df: DataFrame, order: list, k: int) -> DataFrame:
-    return df.orderBy(*order).limit(k)
+def top_rows(df: DataFrame, order: list, k: int, buckets: int = 64) -> DataFrame:
+    """First k rows. Tasks keep k each, a layer of buckets merges those, one task merges the buckets."""
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    bucketed = df.withColumn("_bucket", F.spark_partition_id() % buckets).withColumn("_place", place)
+    return bucketed.filter(F.col("_place") <= k).drop("_bucket", "_place").orderBy(*order).limit(k)
 
 
 def within_group_slope(df: DataFrame, y: str, x: str, group: str) -> DataFrame:

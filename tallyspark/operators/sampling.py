@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from tallyspark import settings
 from tallyspark.functions.columns import hash_text, hash_word
 
+THIN_ABOVE = 1_000_000
+
 
 def priority_sample(df: DataFrame, keys: list[str], size: int, seed: int = settings.SEED) -> DataFrame:
     """Uniform sample of a fixed size without replacement, the same on every run.
 
-    The priority depends on the key alone, so partitioning does not matter. Rows that
-    share a key are ordered by their content. The limit is taken per task first; above
-    a million rows a hash threshold thins the input before the sort.
+    The priority depends on the key alone, so partitioning does not matter; the key should
+    identify a row. Large inputs are first thinned by a threshold on the hash, set so that
+    barely more than ``size`` rows reach the final sort, however many tasks there are.
     """
-    text = hash_text(seed, *keys)
-    prepared = df.withColumn("_p", F.md5(text.cast("binary")))
     rest = [c for c in df.columns if c not in keys]
-    if size > 1_000_000:
-        n = df.count()
-        keep = min(1.0, size / max(n, 1) * 1.05 + 10 * (size**0.5) / max(n, 1))
-        thin = prepared.filter(hash_word(seed, *keys) < F.lit(int(keep * 16**8)))
-        if keep < 1.0 and thin.count() >= size:
-            prepared = thin
-    return prepared.orderBy("_p", *keys, *rest).limit(size).drop("_p")
+    n = df.count()
+    share = (size + 10 * size**0.5 + 100) / max(n, 1)
+    kept = df
+    while n > THIN_ABOVE and share < 1:
+        kept = df.filter(hash_word(seed, *keys, digits=15) < F.lit(int(share * 16**15)))
+        if kept.count() >= size:
+            break
+        share, kept = share * 2, df
+    text = hash_text(seed, *keys)
+    return kept.withColumn("_p", F.md5(text.cast("binary"))).orderBy("_p", *keys, *rest).limit(size).drop("_p")
 
 
 def in_train(keys: list[str], share: int = 80, seed: int = settings.SEED):

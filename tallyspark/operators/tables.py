@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import settings
 from tallyspark.functions.columns import cohort_decade, flag, number, ratio
+from tallyspark.functions.joins import HOT_ROWS, skew_join
 
 KEYS = settings.HOUSEHOLD_KEYS
 
@@ -69,17 +70,21 @@ def person_table(df: DataFrame, keep: list[str] = settings.PERSON_COLUMNS) -> Da
 
 
 def join_households(
-    persons: DataFrame, households: DataFrame, columns: list[str], suffix: str = "_HH"
+    persons: DataFrame, households: DataFrame, columns: list[str], suffix: str = "_HH", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Left join of household columns to persons; clashing names take the suffix.
 
-    No hint: the planner broadcasts households only when their size is small, and
-    otherwise both sides are hash-partitioned on the household key.
+    The planner broadcasts households only when their size is small, and otherwise
+    hash-partitions both sides on the household key. HOUSEHOLD_SIZE tells which keys are
+    hot; those few are joined apart.
     """
+    size = "HOUSEHOLD_SIZE" if "HOUSEHOLD_SIZE" in households.columns else None
     right = households.select(
-        *KEYS, *[F.col(c).alias(c + suffix if c in persons.columns else c) for c in columns]
+        *KEYS,
+        *[F.col(c).alias(c + suffix if c in persons.columns else c) for c in columns],
+        *([F.col(size).alias("_size")] if size else []),
     )
-    return persons.join(right, KEYS, "left")
+    return skew_join(persons, right, KEYS, "_size" if size else None, hot_rows=hot_rows).drop("_size")
 
 
 def education_frame(persons: DataFrame, households: DataFrame, wealth: str = "wealth_index") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,9 +17,11 @@ from pyspark.sql import functions as F
 
 from tallyspark import settings
 from tallyspark.functions.columns import hash_unit, hash_word, number
+from tallyspark.functions.joins import skew_join
 from tallyspark.functions.ordered import exact_quantiles, spearman
 from tallyspark.operators.features import COUNT, fit_encoder, fit_fill
 from tallyspark.operators.metrics import confusion_counts, scores
+from tallyspark.operators.profiles import top_rows
 from tallyspark.operators.regression import SUM_SCHEMA, _gather, _upper
 from tallyspark.operators.sampling import priority_sample
 from tallyspark.session import bounded_rows, stage
@@ -162,13 +163,16 @@ def isolation_forest(
     scored = stage(filled.mapInPandas(_score(shared, packed, typical), schema).select(*raw, COUNT, "anomaly_score"), "scores")
     keyed = scored.withColumn("_g", F.lit(1))
     cut = exact_quantiles(keyed, ["_g"], "anomaly_score", {"cut": 1 - contamination}, F.col(COUNT)).first()["cut"]
+    # One text key per combination, nulls included.
+    combination = F.to_json(F.struct(*raw)).alias("_combination")
     flagged = scored.select(
-        *[F.col(r).alias(f"{r}_s") for r in raw],
+        combination,
         "anomaly_score",
         (F.col("anomaly_score") > F.lit(float(cut))).cast("int").alias("is_anomaly"),
+        F.col(COUNT).alias("_size"),
     )
-    match = reduce(lambda a, b: a & b, [F.col(r).eqNullSafe(F.col(f"{r}_s")) for r in raw])
-    return rows.join(flagged, match).select(*df.columns, "anomaly_score", "is_anomaly")
+    joined = skew_join(rows.select("*", combination), flagged, ["_combination"], "_size", "inner")
+    return joined.select(*df.columns, "anomaly_score", "is_anomaly")
 
 
 def anomaly_rates(flagged: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -188,7 +192,7 @@ def anomaly_rates(flagged: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def top_anomalies(flagged: DataFrame, keys: list[str], k: int = 500) -> DataFrame:
-    return flagged.orderBy(F.desc("is_anomaly"), F.desc("anomaly_score"), *keys).limit(k)
+    return top_rows(flagged, [F.desc("is_anomaly"), F.desc("anomaly_score"), *[F.col(c) for c in keys]], k)
 
 
 def _weighted_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

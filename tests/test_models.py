@@ -47,6 +47,10 @@ def test_priority_sample_is_fixed_size_and_stable(people):
     two = sampling.priority_sample(people[1].repartition(9), KEYS, 100)
     assert one.count() == 100 and one.exceptAll(two).count() == 0
     assert sampling.priority_sample(people[1], KEYS, 10**6).count() == 3000
+    whole = one.collect()
+    sampling.THIN_ABOVE, before = 10, sampling.THIN_ABOVE
+    assert sampling.priority_sample(people[1], KEYS, 100).collect() == whole
+    sampling.THIN_ABOVE = before
 
 
 def test_temporal_folds(people):

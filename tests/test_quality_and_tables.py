@@ -115,3 +115,32 @@ def test_beta_convergence_shift_and_errors(spark):
     assert got["beta_coefficient"] == pytest.approx(beta[1]) and got["intercept"] == pytest.approx(beta[0])
     assert got["beta_se"] == pytest.approx(np.sqrt(cov[1, 1])) and got["intercept_se"] == pytest.approx(np.sqrt(cov[0, 0]))
     assert got["interpretation"].startswith("Negative")
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_skew_join_equals_plain_join(spark, how):
+    from tallyspark.functions.joins import skew_join
+
+    left = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 50 as string)) AS k", "id AS v").union(
+        spark.createDataFrame([(None, 9), ("none", 8)], "k string, v bigint")
+    )
+    right = left.groupBy("k").count().filter("k <> 'none'").selectExpr("k", "count AS size", "upper(k) AS name")
+    plain = left.join(right, "k", how)
+    for hot_rows in (100, 30, 10**9):
+        got = skew_join(left, right, ["k"], "size", how, hot_rows)
+        assert got.columns == plain.columns
+        assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+def test_top_rows(spark):
+    df = spark.range(5000).repartition(20)
+    got = [r["id"] for r in profiles.top_rows(df, [df["id"].desc()], 7, buckets=3).collect()]
+    assert got == list(range(4999, 4992, -1))
+
+
+def test_household_join_with_hot_households(spark):
+    persons = spark.range(300).selectExpr("1999 AS YEAR", "if(id < 150, 'hot', cast(id as string)) AS SERIAL", "cast(id as int) AS PERNUM")
+    hh = tables.household_rollup(persons).selectExpr("*", "length(SERIAL) AS w")
+    plain = tables.join_households(persons, hh, ["w"])
+    split = tables.join_households(persons, hh, ["w"], hot_rows=100)
+    assert split.exceptAll(plain).count() == 0 and split.count() == 300
