@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import number
-from tallyspark.functions.joins import skew_join
+from tallyspark.functions.joins import HOT_ROWS, skew_join
 from tallyspark.session import stage
 
 WINDOW_CELLS = 2_000_000
@@ -28,11 +28,22 @@ def value_cells(df: DataFrame, keys: list[str], value: str, sums: dict[str, Colu
 
 
 def running_totals(
-    cells: DataFrame, keys: list[str], value: str, sums: list[str], window_cells: int | None = None
+    cells: DataFrame,
+    keys: list[str],
+    value: str,
+    sums: list[str],
+    window_cells: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """Add ``cum_<s>`` (inclusive, in value order) and ``tot_<s>`` per group."""
-    staged = stage(cells, "cells")
+    """Add ``cum_<s>`` (inclusive, in value order) and ``tot_<s>`` per group.
+
+    ``at_most`` is a known bound on the number of cells; under the window limit it saves
+    storing and counting them.
+    """
     limit = WINDOW_CELLS if window_cells is None else window_cells
+    if at_most is not None and at_most <= limit:
+        return _window_totals(cells, keys, value, sums)
+    staged = stage(cells, "cells")
     if staged.count() <= limit:
         return _window_totals(staged, keys, value, sums)
     return _sliced_totals(staged, keys, value, sums)
@@ -95,8 +106,9 @@ def quantiles_of_cells(
     probs: dict[str, float],
     n: str,
     window_cells: int | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
-    ranked = running_totals(cells.select(*keys, value, n), keys, value, [n], window_cells)
+    ranked = running_totals(cells.select(*keys, value, n), keys, value, [n], window_cells, at_most)
     found, out = [], []
     for name, p in probs.items():
         place = F.lit(p) * (F.col(f"tot_{n}") - 1)
@@ -108,9 +120,11 @@ def quantiles_of_cells(
     return ranked.groupBy(*keys).agg(F.max(f"tot_{n}").alias("_tot"), *found).select(*keys, *out)
 
 
-def average_ranks(cells: DataFrame, keys: list[str], value: str, n: str, out: str) -> DataFrame:
+def average_ranks(
+    cells: DataFrame, keys: list[str], value: str, n: str, out: str, at_most: int | None = None
+) -> DataFrame:
     """Rank of each distinct value, ties sharing their average rank."""
-    ranked = running_totals(cells, keys, value, [n])
+    ranked = running_totals(cells, keys, value, [n], at_most=at_most)
     extra = [c for c in cells.columns if c not in (*keys, value, n)]
     rank = F.col(f"cum_{n}") - F.col(n) + (F.col(n) + 1) / 2
     return ranked.select(*keys, value, rank.alias(out), F.col(f"tot_{n}").alias("_total"), *extra)
@@ -125,15 +139,18 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, count: Column | Non
     )
     for key in keys:
         pairs = pairs.filter(F.col(key).isNotNull())
+    size = pairs.count()
+
     def ranks(side: str, out: str) -> DataFrame:
         cells = value_cells(pairs, keys, side, {"_n": F.col("_n"), "_cells": F.lit(1)})
-        return average_ranks(cells, keys, side, "_n", out)
-
-    # One value may pair with very many others: the number of pair cells per value is known.
-    ranked = skew_join(pairs, ranks("_a", "_ra").withColumnRenamed("_cells", "_ka"), [*keys, "_a"], "_ka", "inner")
-    ranked = skew_join(
-        ranked.drop("_ka"), ranks("_b", "_rb").withColumnRenamed("_cells", "_kb").drop("_total"), [*keys, "_b"], "_kb", "inner"
-    )
+        return average_ranks(cells, keys, side, "_n", out, at_most=size)
+
+    # One value may pair with very many others; the number of pair cells per value is known.
+    known = {"_ka": "_ka", "_kb": "_kb"} if size > HOT_ROWS else {}
+    a = ranks("_a", "_ra").withColumnRenamed("_cells", "_ka")
+    b = ranks("_b", "_rb").withColumnRenamed("_cells", "_kb").drop("_total")
+    ranked = skew_join(pairs, a, [*keys, "_a"], known.get("_ka"), "inner").drop("_ka")
+    ranked = skew_join(ranked, b, [*keys, "_b"], known.get("_kb"), "inner")
     da = F.col("_ra") - (F.col("_total") + 1) / 2
     db = F.col("_rb") - (F.col("_total") + 1) / 2
     sums = ranked.groupBy(*keys).agg(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import settings
-from tallyspark.functions.columns import digits, flag, number, total
+from tallyspark.functions.columns import digits, number, total
 from tallyspark.functions.ordered import exact_quantiles, quantiles_of_cells, spearman
-from tallyspark.operators.quality import value_counts
+from tallyspark.operators.quality import GROUP, value_counts
 from tallyspark.session import bounded_rows, stage
 
 MIN_VARIABLES = 3
@@ -52,54 +54,85 @@ def first_component(covariance: np.ndarray) -> tuple[np.ndarray, float]:
 def fit_components(
     df: DataFrame, specs: dict[int, list[str]], least: int = MIN_VARIABLES
 ) -> dict[int, Component]:
-    """Fit one component per year, all years in the same passes.
+    """Fit one component per year over that year's listed variables."""
+    return fit_component_sets(df, {"one": specs}, least)["one"]
 
-    A year takes part with its listed variables that have more than one value, if
-    enough are left. Pass one reads the medians off value counts; pass two sums the
-    covariances. Only a d x d matrix per listed year reaches the driver.
+
+def fit_component_sets(
+    df: DataFrame, sets: dict[str, dict[int, list[str]]], least: int = MIN_VARIABLES
+) -> dict[str, dict[int, Component]]:
+    """Fit several variable sets for all years in the same two passes.
+
+    A year takes part with its listed variables that have more than one value, if enough
+    are left. Pass one reads the medians off value counts; pass two sums cross products
+    per year on the executors. Only a d x d matrix per listed year reaches the driver.
     """
-    variables = list(dict.fromkeys(v for vs in specs.values() for v in vs if v in df.columns))
-    scoped = df.filter(F.col("YEAR").isin(*specs))
+    listed = {y: list(dict.fromkeys(v for s in sets.values() for v in s.get(y, []))) for s in sets.values() for y in s}
+    variables = list(dict.fromkeys(v for vs in listed.values() for v in vs if v in df.columns))
+    scoped = df.filter(F.col("YEAR").isin(*listed))
     cells = stage(value_counts(scoped, variables, "double").filter(F.col("VALUE").isNotNull()), "values")
-    medians = quantiles_of_cells(cells, ["VARIABLE", "YEAR"], "VALUE", {"median": 0.5}, "N")
-    distinct = cells.groupBy("VARIABLE", "YEAR").agg(F.count(F.lit(1)).alias("n_values"))
+    medians = quantiles_of_cells(cells, GROUP, "VALUE", {"median": 0.5}, "N", at_most=cells.count())
+    distinct = cells.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_values"))
     found = {
-        (r["YEAR"], r["VARIABLE"]): r
-        for r in bounded_rows(medians.join(distinct, ["VARIABLE", "YEAR"]), MAX_GROUPS, "year variables")
+        (r["YEAR"], r["VARIABLE"]): r for r in bounded_rows(medians.join(distinct, GROUP), MAX_GROUPS, "year variables")
+    }
+    usable = {
+        name: {
+            y: kept
+            for y, vs in specs.items()
+            if len(kept := [v for v in vs if (y, v) in found and found[y, v]["n_values"] > 1]) >= least
+        }
+        for name, specs in sets.items()
     }
-    usable = {}
-    for year, listed in specs.items():
-        kept = [v for v in listed if (year, v) in found and found[year, v]["n_values"] > 1]
-        if len(kept) >= least:
-            usable[year] = kept
-    if not usable:
-        return {}
-    # Impute with the year's own median, then sum all pairs once.
-    filled = scoped.select(
+    years = sorted({y for specs in usable.values() for y in specs})
+    if not years:
+        return {name: {} for name in sets}
+    # Measured from the year's own median: a missing value is a zero, and no sum cancels badly.
+    centred = scoped.filter(F.col("YEAR").isin(*years)).select(
         "YEAR",
-        *[F.coalesce(number(v), _by_year({y: found[y, v]["median"] for y in usable if (y, v) in found})).alias(v) for v in variables],
+        *[
+            F.coalesce(number(v) - _by_year({y: found[y, v]["median"] for y in years if (y, v) in found}), F.lit(0.0)).alias(v)
+            for v in variables
+        ],
     )
-    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i:]]
-    moments = filled.groupBy("YEAR").agg(
-        *[F.avg(v).alias(f"m_{v}") for v in variables],
-        *[F.covar_pop(a, b).alias(f"c_{a}__{b}") for a, b in pairs],
+    sums = centred.mapInPandas(_yearly_products(variables), "year int, i int, j int, v double")
+    totals = sums.groupBy("year", "i", "j").agg(F.sum("v").alias("v"))
+    size = len(variables) + 1
+    products = {y: np.zeros((size, size)) for y in years}
+    for r in bounded_rows(totals, len(years) * size * size, "cross products"):
+        products[r["year"]][r["i"], r["j"]] = products[r["year"]][r["j"], r["i"]] = r["v"]
+    return {
+        name: {y: _component(y, kept, variables, products[y], found) for y, kept in specs.items()}
+        for name, specs in usable.items()
+    }
+
+
+def _yearly_products(variables: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            data = np.column_stack([np.ones(len(pdf)), pdf[variables].to_numpy(dtype=float)])
+            years = pdf["YEAR"].to_numpy()
+            for year in np.unique(years):
+                part = data[years == year]
+                acc[int(year)] = acc.get(int(year), 0) + part.T @ part
+        for year, matrix in acc.items():
+            i, j = np.triu_indices(matrix.shape[0])
+            yield pd.DataFrame({"year": np.int32(year), "i": i.astype("int32"), "j": j.astype("int32"), "v": matrix[i, j]})
+
+    return run
+
+
+def _component(year: int, kept: list[str], variables: list[str], products: np.ndarray, found: dict) -> Component:
+    places = [variables.index(v) + 1 for v in kept]
+    n = products[0, 0]
+    shift = products[0, places] / n
+    cov = products[np.ix_(places, places)] / n - np.outer(shift, shift)
+    lead, value = first_component(cov)
+    medians = [found[year, v]["median"] for v in kept]
+    return Component(
+        kept, medians, [m + float(s) for m, s in zip(medians, shift)], np.sqrt(np.diag(cov)).tolist(), lead.tolist(), value
     )
-    out = {}
-    for row in bounded_rows(moments, MAX_GROUPS, "years"):
-        kept = usable.get(row["YEAR"])
-        if not kept:
-            continue
-        cov = np.array([[row[f"c_{a}__{b}"] if f"c_{a}__{b}" in row else row[f"c_{b}__{a}"] for b in kept] for a in kept])
-        lead, value = first_component(cov)
-        out[row["YEAR"]] = Component(
-            kept,
-            [found[row["YEAR"], v]["median"] for v in kept],
-            [row[f"m_{v}"] for v in kept],
-            np.sqrt(np.diag(cov)).tolist(),
-            lead.tolist(),
-            value,
-        )
-    return out
 
 
 def _by_year(values: dict[int, object]) -> Column:
@@ -138,9 +171,10 @@ def household_indices(
     housing: dict[int, list[str]] = settings.HOUSING_VARS_BY_YEAR,
 ) -> DataFrame:
     """Wealth index, its class within the year, and the housing-quality index."""
-    scored = with_component(households, fit_components(households, assets), "wealth_index")
-    scored = wealth_class(scored, "wealth_index")
-    return with_component(scored, fit_components(households, housing), "housing_quality_index")
+    fitted = fit_component_sets(households, {"assets": assets, "housing": housing})
+    scored = with_component(households, fitted["assets"], "wealth_index")
+    scored = with_component(scored, fitted["housing"], "housing_quality_index")
+    return wealth_class(scored, "wealth_index")
 
 
 def wealth_class(df: DataFrame, score: str, by: list[str] = ["YEAR"], low: float = 0.3, high: float = 0.7) -> DataFrame:
@@ -234,22 +268,18 @@ def robustness_specs(
         "asset_plus_rooms": {y: sorted(set(v) | ({"ROOMS", "LIVEAREA"} & columns)) for y, v in assets.items()},
         "housing_quality_alt": housing,
     }
-    alternatives = None
-    for name, specs in variants.items():
-        components = fit_components(households, specs)
-        if not components:
-            continue
-        sizes = _by_year({y: F.lit(len(c.variables)) for y, c in components.items()})
-        scored = with_component(households, components, "_alt").filter(F.col("YEAR").isin(*components))
-        part = spearman(scored, ["YEAR"], "wealth_index", "_alt").select(
-            "YEAR",
+    fitted = {name: c for name, c in fit_component_sets(households, variants).items() if c}
+    # All variants in one long table: (year, variant) is the group of a single rank correlation.
+    sides = [
+        F.struct(
             F.lit(name).alias("specification"),
-            sizes.cast("int").alias("n_variables"),
-            F.col("rho").alias("correlation_with_main_wealth_index"),
+            _by_year({y: F.lit(float(len(c.variables))) for y, c in components.items()}).cast("int").alias("n_variables"),
+            _by_year({y: c.score() for y, c in components.items()}).alias("alt"),
         )
-        alternatives = part if alternatives is None else alternatives.unionByName(part)
-    return {"main": main, "alternatives": alternatives}
-
-
-def rich_flag() -> Column:
-    return flag(F.col("wealth_class") == "rich")
+        for name, components in fitted.items()
+    ]
+    long = households.select("YEAR", "wealth_index", F.explode(F.array(*sides)).alias("s")).select("YEAR", "wealth_index", "s.*")
+    agreement = spearman(
+        long.filter(F.col("n_variables").isNotNull()), ["YEAR", "specification", "n_variables"], "wealth_index", "alt"
+    )
+    return {"main": main, "alternatives": agreement.withColumnRenamed("rho", "correlation_with_main_wealth_index")}

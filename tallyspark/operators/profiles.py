@@ -39,7 +39,7 @@ def summary_stats(df: DataFrame, columns: list[str] = settings.SUMMARY_VARS) ->
         )
     )
     return moments.join(spread, "variable").join(
-        quantiles_of_cells(cells, ["variable"], "value", QUARTILES, "n"), "variable"
+        quantiles_of_cells(cells, ["variable"], "value", QUARTILES, "n", at_most=cells.count()), "variable"
     )
 
 

@@ -295,7 +295,8 @@ def outlier_summary(df: DataFrame, variables: list[str] | None = None) -> DataFr
     variables = variables or [v for v in settings.CONTINUOUS_VARS if v in df.columns]
     cells = stage(value_counts(df, variables, "double").filter(F.col("VALUE").isNotNull()), "values")
     cuts = quantiles_of_cells(
-        cells, GROUP, "VALUE", {"P01": 0.01, "Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75, "P99": 0.99}, "N"
+        cells, GROUP, "VALUE", {"P01": 0.01, "Q1": 0.25, "MEDIAN": 0.5, "Q3": 0.75, "P99": 0.99}, "N",
+        at_most=cells.count(),
     )
     means = cells.groupBy(*GROUP).agg((F.sum(F.col("VALUE") * F.col("N")) / F.sum("N")).alias("MEAN"))
     limits = stage(cuts.join(means, GROUP), "limits")

@@ -39,6 +39,7 @@ class Term:
 class Design:
     terms: list[Term]
     y: str
+    codes: dict[str, dict[str, int]]
 
     def rows(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         x = np.ones((len(pdf), len(self.terms)))
@@ -46,7 +47,7 @@ class Design:
             for column in term.numeric:
                 x[:, place] *= pdf[column].to_numpy(dtype=float)
             for column, level in term.levels:
-                x[:, place] *= (pdf[column] == level).to_numpy(dtype=float)
+                x[:, place] *= pdf[column].to_numpy() == self.codes[column][level]
         return x, pdf[self.y].to_numpy(dtype=float)
 
 
@@ -155,7 +156,10 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "") -> DataFra
         levels = {c: sorted(v, key=_level_key) for c, v in levels.items()}
         if not levels:
             raise ValueError("no complete rows to fit")
-    design = Design(build_terms(levels, parts), y)
+    codes = {c: {level: place for place, level in enumerate(found)} for c, found in levels.items()}
+    design = Design(build_terms(levels, parts), y, codes)
+    # Levels travel to the Python workers as small numbers.
+    frame = frame.withColumns({c: _place(c, codes[c]) for c in cats})
     size = len(design.terms)
     gram = _gather(frame.mapInPandas(_cross_products(design), SUM_SCHEMA), size + 1)
     xx, xy, yy = gram[:size, :size], gram[:size, size], gram[size, size]
@@ -188,6 +192,11 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "") -> DataFra
     )
 
 
+def _place(column: str, codes: dict[str, int]):
+    pairs = [F.lit(v) for pair in codes.items() for v in pair]
+    return F.element_at(F.create_map(*pairs), F.col(column)).cast("int")
+
+
 def _given(df: DataFrame, parts: list[str]) -> list[str]:
     return [p for p in parts if all(c in df.columns for f in _factors([p]) for c in f)]
 
