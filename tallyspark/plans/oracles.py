@@ -197,10 +197,80 @@ def with_ctes(body: str, needs: list[str], extra: list[tuple[str, str]] = []) ->
     listed = [(n, CTES[n][0]) for n in order] + list(extra)
     if not listed:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" if n.endswith("_pow") else f"{n} AS MATERIALIZED ({s})" for n, s in listed) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" if n.endswith(("_pow", "_gj")) else f"{n} AS MATERIALIZED ({s})" for n, s in listed) + "\n" + body
 
 
 def rounded(source: str, plain: list[str], doubles: list[str], digits: int = 6) -> str:
     """Select plain columns as they are and double columns rounded."""
     picks = plain + [f"round({d}, {digits}) AS {d}" for d in doubles]
     return f"SELECT {', '.join(picks)} FROM ({source})"
+
+
+def ols_ctes(p: str, source: str, y: str, parts: list[str]) -> list[tuple[str, str]]:
+    """CTEs ending in ``<p>_fit``: least squares with HC1 errors by elimination in long form."""
+    pieces = list(dict.fromkeys(f.strip() for part in parts for f in part.split("*")))
+    cats = [f[2:-1] for f in pieces if f.startswith("C(")]
+    nums = [f for f in pieces if not f.startswith("C(")]
+    columns = [f"TRY_CAST({y} AS DOUBLE) AS yy"]
+    columns += [f"TRY_CAST({c} AS DOUBLE) AS n_{c}" for c in nums] + [f"CAST({c} AS VARCHAR) AS c_{c}" for c in cats]
+    present = " AND ".join(["yy IS NOT NULL", *[f"n_{c} IS NOT NULL" for c in nums], *[f"c_{c} IS NOT NULL" for c in cats]])
+
+    def base(c: str) -> str:
+        return f"(SELECT c_{c} FROM {p}_d GROUP BY 1 ORDER BY TRY_CAST(c_{c} AS DOUBLE) NULLS LAST, c_{c} LIMIT 1)"
+
+    def name(c: str) -> str:
+        return f"'C({c})[T.' || c_{c} || ']'"
+
+    rows = [f"SELECT rid, 'Intercept' AS t, 1.0::DOUBLE AS v FROM {p}_d"]
+    rows += [f"SELECT rid, '{c}', n_{c} FROM {p}_d" for c in nums]
+    rows += [f"SELECT rid, {name(c)}, 1.0 FROM {p}_d WHERE c_{c} <> {base(c)}" for c in cats]
+    for part in parts:
+        if "*" in part:
+            a, b = (f.strip()[2:-1] for f in part.split("*"))
+            rows.append(f"SELECT rid, {name(a)} || ':' || {name(b)}, 1.0 FROM {p}_d WHERE c_{a} <> {base(a)} AND c_{b} <> {base(b)}")
+    tail = "list_sum(list_transform(range(0, 200), lambda q: exp(-x * x + (2 * q + 1) * ln(greatest(x, 1e-300)) - lgamma(q + 1.5))))"
+    return [
+        (f"{p}_d", f"SELECT *, row_number() OVER () AS rid FROM (SELECT {', '.join(columns)} FROM {source}) WHERE {present}"),
+        (f"{p}_long", " UNION ALL ".join(rows)),
+        (f"{p}_t", f"SELECT t, row_number() OVER (ORDER BY t) AS p FROM (SELECT DISTINCT t FROM {p}_long)"),
+        (f"{p}_x", f"SELECT rid, p, v FROM {p}_long JOIN {p}_t USING (t)"),
+        (f"{p}_g", f"SELECT a.p AS i, b.p AS j, sum(a.v * b.v) AS v FROM {p}_x a JOIN {p}_x b USING (rid) GROUP BY ALL"),
+        (f"{p}_s", f"SELECT i AS p, sqrt(v) AS s FROM {p}_g WHERE i = j"),
+        (f"{p}_xy", f"SELECT p, sum(v * yy) AS v FROM {p}_x JOIN {p}_d USING (rid) GROUP BY p"),
+        (
+            f"{p}_a",
+            f"SELECT a.p AS i, b.p AS j, coalesce(g.v, 0) / (a.s * b.s) AS v FROM {p}_s a CROSS JOIN {p}_s b LEFT JOIN {p}_g g ON g.i = a.p AND g.j = b.p "
+            f"UNION ALL SELECT p, 0, v / s FROM {p}_xy JOIN {p}_s USING (p) "
+            f"UNION ALL SELECT a.p, (SELECT count(*) FROM {p}_t) + b.p, CASE WHEN a.p = b.p THEN 1.0 ELSE 0.0 END FROM {p}_s a CROSS JOIN {p}_s b",
+        ),
+        (
+            f"{p}_gj",
+            f"SELECT CAST(0 AS BIGINT) AS k, i, j, CAST(v AS DOUBLE) AS v FROM {p}_a UNION ALL "
+            f"SELECT g.k + 1, g.i, g.j, CASE WHEN g.i = g.k + 1 THEN g.v / q.v ELSE g.v - c.v * r.v / q.v END FROM {p}_gj g "
+            f"JOIN {p}_gj r ON r.i = g.k + 1 AND r.j = g.j JOIN {p}_gj c ON c.i = g.i AND c.j = g.k + 1 "
+            f"JOIN {p}_gj q ON q.i = g.k + 1 AND q.j = g.k + 1 WHERE g.k < (SELECT count(*) FROM {p}_t)",
+        ),
+        (f"{p}_end", f"SELECT i, j, v FROM {p}_gj WHERE k = (SELECT count(*) FROM {p}_t)"),
+        (f"{p}_b", f"SELECT i AS p, v / s AS b FROM {p}_end JOIN {p}_s ON i = p WHERE j = 0"),
+        (
+            f"{p}_inv",
+            f"SELECT e.i, a.p AS j, e.v / (a.s * b.s) AS v FROM {p}_end e JOIN {p}_s a ON e.j = a.p + (SELECT count(*) FROM {p}_t) JOIN {p}_s b ON b.p = e.i",
+        ),
+        (f"{p}_e", f"SELECT rid, max(yy) AS yy, max(yy) - sum(v * b) AS e FROM {p}_x JOIN {p}_b USING (p) JOIN {p}_d USING (rid) GROUP BY rid"),
+        (f"{p}_m", f"SELECT a.p AS i, b.p AS j, sum(e * e * a.v * b.v) AS v FROM {p}_x a JOIN {p}_x b USING (rid) JOIN {p}_e USING (rid) GROUP BY ALL"),
+        (
+            f"{p}_sum",
+            f"SELECT count(*) AS n, (SELECT count(*) FROM {p}_t) AS k, 1 - sum(e * e) / (sum((yy - (SELECT avg(yy) FROM {p}_e)) ** 2)) AS r2 FROM {p}_e",
+        ),
+        (
+            f"{p}_v",
+            f"SELECT l.i AS p, sum(l.v * m.v * r.v) AS v FROM {p}_inv l JOIN {p}_m m ON m.i = l.j JOIN {p}_inv r ON r.i = m.j AND r.j = l.i GROUP BY l.i",
+        ),
+        (
+            f"{p}_fit",
+            f"SELECT term, coefficient, std_error, greatest(CASE WHEN x > 8 THEN 0.0 ELSE 1 - {tail} END, 0) AS p_value, "
+            "coefficient - 1.959963984540054 * std_error AS ci_lower, coefficient + 1.959963984540054 * std_error AS ci_upper, nobs, r_squared, "
+            "1 - (nobs - 1.0) / (nobs - k) * (1 - r_squared) AS adj_r_squared FROM (SELECT *, abs(coefficient / std_error) / sqrt(2.0) AS x FROM ("
+            f"SELECT t AS term, b AS coefficient, sqrt(v * n / (n - k)) AS std_error, n AS nobs, r2 AS r_squared, k FROM {p}_b JOIN {p}_t USING (p) JOIN {p}_v USING (p), {p}_sum))",
+        ),
+    ]

@@ -683,12 +683,23 @@ def ols_hc1(spark, folder):
     return fit.select("term", "nobs", "coefficient", "std_error", "r_squared")
 
 
-@query()
+_FIT = ["coefficient", "std_error", "p_value", "ci_lower", "ci_upper", "r_squared", "adj_r_squared"]
+_HOUSEHOLD_PARTS = ["HOUSEHOLD_SIZE", "AREA_PER_PERSON", "ROOMS_PER_PERSON", "VEHICLE_COUNT", "C(URBAN_H)*C(YEAR)", "C(GEO1_VN)", "C(OWNERSHIP_H)"]
+_AGED = ("aged", "SELECT *, AGE ** 2 AS AGE2 FROM pw")
+
+
+@query(
+    "SELECT 'wealth_index' AS model, * FROM hw_fit UNION ALL SELECT 'housing_quality_index', * FROM hq_fit", ["enriched"], ["term", "model", "nobs"], _FIT,
+    extra=o.ols_ctes("hw", "enriched", "wealth_index", _HOUSEHOLD_PARTS) + o.ols_ctes("hq", "enriched", "housing_quality_index", _HOUSEHOLD_PARTS),
+)
 def household_ols(spark, folder):
     return regression.household_models(survey(spark, folder).enriched)
 
 
-@query()
+@query(
+    "SELECT 'person_education_gender_returns' AS model, * FROM pr_fit", ["pw"], ["term", "model", "nobs"], _FIT,
+    extra=[_AGED, *o.ols_ctes("pr", "aged", "wealth_index", ["C(EDATTAIN_H)*C(SEX_H)", "C(YEAR)", "AGE", "AGE2", "C(URBAN_H)", "C(GEO1_VN)"])],
+)
 def person_returns_ols(spark, folder):
     return regression.person_returns(survey(spark, folder).persons_with_wealth)
 
@@ -716,12 +727,22 @@ def gender_education_ols(spark, folder):
     return regression.gender_education(survey(spark, folder).persons_with_wealth)
 
 
-@query()
+@query(
+    "SELECT 'gender_wealth' AS model, * FROM gw_fit", ["pw"], ["term", "model", "nobs"], _FIT,
+    extra=[_AGED, *o.ols_ctes("gw", "aged", "wealth_index", ["C(SEX_H)*C(URBAN_H)", "C(YEAR)", "C(EDATTAIN_H)", "AGE", "AGE2", "C(GEO1_VN)"])],
+)
 def gender_wealth_ols(spark, folder):
     return regression.gender_wealth(survey(spark, folder).persons_with_wealth)
 
 
-@query()
+# Schooling is a number in this frame, so its levels carry no decimals on either side.
+_WHOLE = ("whole", "SELECT * REPLACE (CAST(CAST(EDATTAIN_H AS BIGINT) AS VARCHAR) AS EDATTAIN_H) FROM edu")
+
+
+@query(
+    "SELECT 'education_returns' AS model, * FROM er_fit", ["edu"], ["term", "model", "nobs"], _FIT,
+    extra=[_WHOLE, *o.ols_ctes("er", "whole", "wealth_index", ["C(EDATTAIN_H)*C(YEAR)", "AGE", "C(SEX_H)", "C(URBAN_H)", "C(GEO1_VN)"])],
+)
 def education_returns_ols(spark, folder):
     return regression.education_returns(survey(spark, folder).education)
 
@@ -773,13 +794,30 @@ def impute_median_mode(spark, folder):
     return filled.select("YEAR", "SERIAL", "ELECTRIC_H", "LIVEAREA")
 
 
-@query()
+def _hot(column: str, codes: list[str]) -> str:
+    return ", ".join(f"CASE WHEN coalesce({column}, m_{column}) = '{c}' THEN 1.0 ELSE 0.0 END" for c in codes)
+
+
+_MODE_OF = ", ".join(
+    f"(SELECT {c} FROM split WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS m_{c}" for c in ["URBAN_H", "ELECTRIC_H", "WATSUP_H", "GEO1_VN"]
+)
+
+
+@query(
+    "SELECT URBAN_H, ELECTRIC_H, WATSUP_H, YEAR, GEO1_VN, wealth_class, train, count(*) AS n, max(round((YEAR - mu) / sd, 6)) AS year_z, "
+    "max([" + ", ".join([_hot("URBAN_H", ["0", "1"]), _hot("ELECTRIC_H", ["0", "1"]), _hot("WATSUP_H", ["10", "11", "20"]), _hot("GEO1_VN", sorted(str(i) for i in range(25)))])
+    + "]) AS one_hot FROM split, (SELECT avg(YEAR) AS mu, stddev_pop(YEAR) AS sd FROM split), (SELECT " + _MODE_OF + ") GROUP BY ALL",
+    ["split"],
+)
 def features_prepared(spark, folder):
     from pyspark.ml.functions import vector_to_array
 
     cells = survey(spark, folder).cells
-    encoded = features.fit_encoder(cells, FEATURES).transform(cells)
-    return encoded.select(*FEATURES, TARGET, "n", vector_to_array("features").alias("features"))
+    encoded = features.fit_encoder(cells, FEATURES).transform(cells).withColumn("f", vector_to_array("features"))
+    # The standardised year comes first, the indicator slots after it.
+    return encoded.select(
+        *FEATURES, TARGET, "train", "n", F.col("f")[0].alias("year_z"), F.slice("f", 2, 1000).alias("one_hot")
+    )
 
 
 def _predictions(spark, folder, name: str, **options) -> DataFrame:
