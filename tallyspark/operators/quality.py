@@ -48,8 +48,14 @@ def code_counts(df: DataFrame, variables: list[str]) -> DataFrame:
     return value_counts(coded, variables).filter(F.col("VALUE").isNotNull())
 
 
-def column_audit(df: DataFrame) -> DataFrame:
-    """Rows, missing, present and distinct values per year and variable, exact over all data."""
+def column_audit(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Rows, missing, present and distinct values per year and variable, exact over all data.
+
+    Exact distinct counts shuffle every distinct value once. ``approximate`` replaces them
+    by sketches of fixed size, so that a single pass with one row per year suffices.
+    """
+    if approximate:
+        return _sketched_audit(df)
     counts = value_counts(df, df.columns)
     out = counts.groupBy("YEAR", "VARIABLE").agg(
         F.sum("N").alias("N_ROWS"),
@@ -60,6 +66,18 @@ def column_audit(df: DataFrame) -> DataFrame:
     return out.withColumn("MISSING_RATE", ratio("N_MISSING", "N_ROWS"))
 
 
+def _sketched_audit(df: DataFrame) -> DataFrame:
+    marks = [F.struct(F.count(c).alias("p"), F.approx_count_distinct(c, 0.01).alias("d")).alias(c) for c in df.columns]
+    wide = df.filter(F.col("YEAR").isNotNull()).groupBy(F.col("YEAR").cast("int").alias("_year")).agg(
+        F.count(F.lit(1)).alias("_rows"), *marks
+    )
+    long = wide.unpivot(["_year", "_rows"], df.columns, "VARIABLE", "m")
+    return long.select(
+        F.col("_year").alias("YEAR"), "VARIABLE", F.col("_rows").alias("N_ROWS"), (F.col("_rows") - F.col("m.p")).alias("N_MISSING"),
+        F.col("m.p").alias("SUM_NON_MISSING"), F.col("m.d").alias("N_UNIQUE"),
+    ).withColumn("MISSING_RATE", ratio("N_MISSING", "N_ROWS"))
+
+
 def missingness(df: DataFrame) -> DataFrame:
     """Rows and missing values per year and variable: one pass, one row per year shuffled."""
     wide = (

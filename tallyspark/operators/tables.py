@@ -87,9 +87,8 @@ def join_households(
     return skew_join(persons, right, KEYS, "_size" if size else None, hot_rows=hot_rows).drop("_size")
 
 
-def education_frame(persons: DataFrame, households: DataFrame, wealth: str = "wealth_index") -> DataFrame:
-    """Persons with household wealth, numeric schooling and birth-cohort decade."""
-    joined = join_households(persons, households, [wealth, "wealth_class", "URBAN_H"])
+def education_frame(joined: DataFrame, wealth: str = "wealth_index") -> DataFrame:
+    """Persons joined to household wealth, with numeric schooling and birth-cohort decade."""
     numeric = joined.withColumns(
         {c: number(c) for c in ["AGE", "EDATTAIN_H", wealth, "PERWT"] if c in joined.columns}
     )

@@ -1048,10 +1048,29 @@ def bn_cpt(spark, folder):
     return bayes.conditional_table(cells, "ELECTRIC_H", ["URBAN_H", TARGET])
 
 
-@query()
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{v}' AS variable, count(*) AS cardinality, '{' | '.join(bayes.parents_of(EDGES, VARIABLES)[v])}' AS evidence, "
+        f"array_to_string(list({v} ORDER BY {v}), ' | ') AS state_names FROM (SELECT DISTINCT {v} FROM network WHERE train)"
+        for v in VARIABLES
+    ),
+    ["network"],
+)
 def bn_cpd_summary(spark, folder):
-    cells, edges = _network(spark, folder)
-    return bayes.table_summary(cells.filter("train"), edges, VARIABLES)
+    return bayes.table_summary(survey(spark, folder).network_cells().filter("train"), EDGES, VARIABLES)
+
+
+_SET_NAME = "concat_ws('+', " + ", ".join(f"CASE WHEN grouping({v}) = 0 THEN '{v}' END" for v in VARIABLES) + ")"
+
+
+@query(
+    "SELECT s AS variables, count(*) AS n_states, sum(n * ln(n)) AS n_log_n FROM (SELECT " + _SET_NAME + f" AS s, count(*) AS n FROM network WHERE train GROUP BY CUBE ({', '.join(VARIABLES)})) GROUP BY s",
+    ["network"], ["variables", "n_states"], ["n_log_n"],
+)
+def bn_subset_statistics(spark, folder):
+    stats = bayes.subset_statistics(survey(spark, folder).network_cells().filter("train"), VARIABLES)
+    rows = [("+".join(v for v in VARIABLES if v in names), n, float(t)) for names, (t, n) in stats.items()]
+    return spark.createDataFrame(rows, "variables string, n_states bigint, n_log_n double")
 
 
 @query(

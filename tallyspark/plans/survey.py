@@ -25,8 +25,8 @@ class Survey:
 
     @cached_property
     def harmonized(self) -> DataFrame:
-        """The harmonised master, written once by year; readers scan only the columns they need."""
-        return stage(clean_and_harmonize(self.raw, self.rules), "master", by=["YEAR"])
+        """The harmonised master, written once; readers scan only the columns they need."""
+        return stage(clean_and_harmonize(self.raw, self.rules), "master")
 
     @cached_property
     def persons(self) -> DataFrame:
@@ -34,20 +34,21 @@ class Survey:
 
     @cached_property
     def households(self) -> DataFrame:
-        return stage(household_rollup(self.harmonized), "households", by=["YEAR"])
+        return stage(household_rollup(self.harmonized), "households")
 
     @cached_property
     def enriched(self) -> DataFrame:
         """Households with wealth index, class and housing-quality index."""
-        return stage(indices.household_indices(self.households), "enriched", by=["YEAR"])
+        return stage(indices.household_indices(self.households), "enriched")
 
     @cached_property
     def persons_with_wealth(self) -> DataFrame:
-        return join_households(self.persons, self.enriched, ["wealth_index", "wealth_class"])
+        """The one join of persons and households; eight analyses read its result."""
+        return stage(join_households(self.persons, self.enriched, ["wealth_index", "wealth_class", "URBAN_H"]), "persons")
 
     @cached_property
     def education(self) -> DataFrame:
-        return education_frame(self.persons, self.enriched)
+        return education_frame(self.persons_with_wealth)
 
     @cached_property
     def cells(self) -> DataFrame:

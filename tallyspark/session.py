@@ -42,7 +42,7 @@ def new_stage_path(spark: SparkSession, name: str = "t") -> str:
     return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage for frames that several jobs read. Parquet rather than an
@@ -50,11 +50,8 @@ def stage(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFr
     so its own size check decides whether a join side may be broadcast.
     """
     path = new_stage_path(df.sparkSession, name)
-    writer = df.write
-    if by:
-        writer = writer.partitionBy(*by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:

@@ -85,6 +85,8 @@ def test_audit_checks_and_duplicates(spark):
     assert dups == {"HOUSEHOLD_ID_DUPLICATES": 2, "PERSON_ID_DUPLICATES": 2}
     audit = {r["VARIABLE"]: r for r in quality.column_audit(df).collect()}
     assert (audit["BEDROOMS"]["N_MISSING"], audit["SERIAL"]["N_UNIQUE"]) == (1, 2)
+    sketch = quality.column_audit(df, approximate=True)
+    assert sketch.exceptAll(quality.column_audit(df).select(*sketch.columns)).count() == 0
     halves = [quality.missingness(df.filter("SERIAL = 'a'")), quality.missingness(df.filter("SERIAL = 'b'"))]
     merged = {r["VARIABLE"]: r["N_MISSING"] for r in quality.combine_audits(halves).collect()}
     assert merged == {r["VARIABLE"]: r["N_MISSING"] for r in quality.missingness(df).collect()}
