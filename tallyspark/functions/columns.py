@@ -20,12 +20,15 @@ def canon(c: str | Column) -> Column:
     return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.0+$", "")).otherwise(text)
 
 
-def code_in(df: DataFrame, name: str, codes: list[str]) -> Column:
-    """Is the code one of ``codes``; numeric columns are compared as numbers."""
+def code_in(df: DataFrame, name: str, codes: list[str], ready: bool = False) -> Column:
+    """Is the code one of ``codes``; numeric columns are compared as numbers.
+
+    ``ready`` says that the column is canonical already.
+    """
     if isinstance(df.schema[name].dataType, NumericType):
         numbers = [float(c) for c in codes if _is_number(c)]
         return F.col(name).isin(*numbers) if numbers else F.lit(False)
-    return canon(name).isin(*codes) if codes else F.lit(False)
+    return (F.col(name) if ready else canon(name)).isin(*codes) if codes else F.lit(False)
 
 
 def _is_number(text: str) -> bool:

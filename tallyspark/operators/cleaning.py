@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tallyspark import settings
 from tallyspark.functions.columns import canon, code_in, number
@@ -30,7 +31,14 @@ def _by_year(df: DataFrame, rules: dict[str, object], year: str, use) -> Column
     return chosen.otherwise(fallback) if fallback is not None else chosen
 
 
-def apply_missing_rules(df: DataFrame, rules: RuleSet, year: str = settings.YEAR) -> DataFrame:
+def canonical_codes(df: DataFrame, variables: list[str] = settings.HARMONIZE_VARS) -> DataFrame:
+    """Bring category codes to their canonical text once, so that later steps compare plainly."""
+    return df.withColumns({v: canon(v) for v in variables if v in df.columns})
+
+
+def apply_missing_rules(
+    df: DataFrame, rules: RuleSet, year: str = settings.YEAR, ready: list[str] = []
+) -> DataFrame:
     """Null every value whose code is listed as missing; rows without a year stay as they are."""
     columns = []
     for name in df.columns:
@@ -38,7 +46,7 @@ def apply_missing_rules(df: DataFrame, rules: RuleSet, year: str = settings.YEAR
         if not by_year:
             columns.append(F.col(name))
             continue
-        listed = _by_year(df, by_year, year, lambda codes: code_in(df, name, codes))
+        listed = _by_year(df, by_year, year, lambda codes: code_in(df, name, codes, name in ready))
         hit = F.col(year).isNotNull() & F.coalesce(listed, F.lit(False))
         columns.append(F.when(~hit, F.col(name)).alias(name))
     return df.select(*columns)
@@ -48,10 +56,12 @@ def clean_types(df: DataFrame, numeric: list[str] = settings.NUMERIC_VARS) -> Da
     """Coerce measures to double (ids to int), trim the household key, NaN to null."""
     columns = []
     for name in df.columns:
+        # Integers hold neither text nor NaN, so a plain cast is enough.
+        whole = isinstance(df.schema[name].dataType, IntegralType)
         if name in ("YEAR", "PERNUM") and name in numeric:
-            columns.append(number(name).cast("int").alias(name))
+            columns.append((F.col(name) if whole else number(name)).cast("int").alias(name))
         elif name in numeric:
-            columns.append(number(name).alias(name))
+            columns.append((F.col(name).cast("double") if whole else number(name)).alias(name))
         elif name == "SERIAL":
             columns.append(F.trim(F.col(name).cast("string")).alias(name))
         else:
@@ -68,6 +78,7 @@ def harmonize(
     rules: RuleSet,
     variables: list[str] = settings.HARMONIZE_VARS,
     year: str = settings.YEAR,
+    ready: list[str] = [],
 ) -> DataFrame:
     """Add ``<V>_H``: the mapped code, or the raw one where no rule maps it."""
     added = {}
@@ -75,7 +86,7 @@ def harmonize(
         name = variable.upper()
         if name not in df.columns:
             continue
-        raw = canon(name)
+        raw = F.col(name) if name in ready else canon(name)
         by_year = rules.mapping.get(name)
         mapped = None
         if by_year:
@@ -91,4 +102,6 @@ def _lookup(code: Column, mapping: dict[str, str]) -> Column:
 
 def clean_and_harmonize(df: DataFrame, rules: RuleSet) -> DataFrame:
     """One narrow stage from raw rows to the harmonised master."""
-    return harmonize(clean_types(apply_missing_rules(require_columns(df), rules)), rules)
+    codes = settings.HARMONIZE_VARS
+    coded = canonical_codes(require_columns(df), codes)
+    return harmonize(clean_types(apply_missing_rules(coded, rules, ready=codes)), rules, codes, ready=codes)

@@ -83,7 +83,8 @@ def fit_fill(cells: DataFrame, features: list[str], count: str = COUNT) -> Fill:
             [count], numeric, "variable", "value"
         )
         values = long.filter(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.sum(count).alias(count))
-        found = quantiles_of_cells(values, ["variable"], "value", {"median": 0.5}, count).collect()
+        bound = cells.count() * len(numeric)
+        found = quantiles_of_cells(values, ["variable"], "value", {"median": 0.5}, count, at_most=bound).collect()
         medians = {c: 0.0 for c in numeric} | {r["variable"]: r["median"] for r in found}
         sums = cells.agg(
             F.sum(count).alias("_n"),

@@ -254,15 +254,21 @@ def index_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return spearman(df, ["YEAR"], a, b)
 
 
-def robustness_specs(
+def robustness_main(
+    households: DataFrame, assets: dict[int, list[str]] = settings.ASSET_VARS_BY_YEAR
+) -> DataFrame:
+    """Per-year rank agreement of the main index with an additive score."""
+    simple = spearman(asset_score_by_year(households, assets), ["YEAR"], "wealth_index", "simple_asset_score")
+    return simple.select("YEAR", F.lit("pca_vs_simple_asset_score").alias("comparison"), F.col("rho").alias("spearman_rho"))
+
+
+def robustness_alternatives(
     households: DataFrame,
     assets: dict[int, list[str]] = settings.ASSET_VARS_BY_YEAR,
     housing: dict[int, list[str]] = settings.HOUSING_VARS_BY_YEAR,
-) -> dict[str, DataFrame]:
-    """Per-year rank agreement of the main index with an additive score and other variable sets."""
+) -> DataFrame:
+    """Per-year rank agreement of the main index with indices over other variable sets."""
     columns = set(households.columns)
-    simple = spearman(asset_score_by_year(households, assets), ["YEAR"], "wealth_index", "simple_asset_score")
-    main = simple.select("YEAR", F.lit("pca_vs_simple_asset_score").alias("comparison"), F.col("rho").alias("spearman_rho"))
     variants = {
         "asset_only": assets,
         "asset_plus_rooms": {y: sorted(set(v) | ({"ROOMS", "LIVEAREA"} & columns)) for y, v in assets.items()},
@@ -282,4 +288,4 @@ def robustness_specs(
     agreement = spearman(
         long.filter(F.col("n_variables").isNotNull()), ["YEAR", "specification", "n_variables"], "wealth_index", "alt"
     )
-    return {"main": main, "alternatives": agreement.withColumnRenamed("rho", "correlation_with_main_wealth_index")}
+    return agreement.withColumnRenamed("rho", "correlation_with_main_wealth_index")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import canon, number
 from tallyspark.operators.profiles import normal_p_value
-from tallyspark.session import bounded_rows, stage
+from tallyspark.session import bounded_rows, spread, stage
 
 MAX_LEVELS = 2_000
 RANK_TOLERANCE = 1e-10
@@ -147,7 +147,7 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "") -> DataFra
         *[canon(c).alias(c) for c in cats],
         *[number(c).alias(c) for c in nums if c != y],
     ).dropna()
-    frame = stage(frame, "model")
+    frame = spread(stage(frame, "model"))
     levels = {}
     if cats:
         seen = frame.unpivot([], cats, "c", "v").distinct()

@@ -24,7 +24,7 @@ from tallyspark.operators.metrics import confusion_counts, scores
 from tallyspark.operators.profiles import top_rows
 from tallyspark.operators.regression import SUM_SCHEMA, _gather, _upper
 from tallyspark.operators.sampling import priority_sample
-from tallyspark.session import bounded_rows, stage
+from tallyspark.session import bounded_rows, spread, stage
 
 TREE_ROWS = 256
 NODE_SCHEMA = "tree int, node int, feature int, cut double, below int, above int, depth double"
@@ -140,10 +140,10 @@ def isolation_forest(
     pool = stage(priority_sample(rows.select(*keys, *raw), keys, trees * TREE_ROWS, seed), "pool")
     size = pool.count()
     copies = max(1, min(trees, math.ceil(trees * TREE_ROWS * 1.2 / max(size, 1))))
-    spread = fill.filled(pool).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    copied = fill.filled(pool).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     # A row enters `copies` different trees: a hashed start, then equal steps around the ring.
     step = max(1, trees // copies)
-    assigned = spread.select(
+    assigned = copied.select(
         *raw,
         ((hash_word(seed, *keys) + F.col("_j") * step) % trees).cast("int").alias("tree"),
         hash_unit(seed + 1, "_j", *keys).alias("_o"),
@@ -158,7 +158,7 @@ def isolation_forest(
         packed.append({c: np.array([r[c] for r in nodes]) for c in ["feature", "cut", "below", "above", "depth"]})
     typical = _average_path(min(TREE_ROWS, max(size * copies / trees, 2)))
     shared = [f"_f_{c}" for c in columns]
-    filled = cells.select(*raw, COUNT, *[c.alias(s) for s, c in zip(shared, fill.columns(False).values())])
+    filled = spread(cells).select(*raw, COUNT, *[c.alias(s) for s, c in zip(shared, fill.columns(False).values())])
     schema = f"{', '.join(f'`{c}` double' for c in raw)}, {COUNT} bigint, {', '.join(f'`{c}` double' for c in shared)}, anomaly_score double"
     scored = stage(filled.mapInPandas(_score(shared, packed, typical), schema).select(*raw, COUNT, "anomaly_score"), "scores")
     keyed = scored.withColumn("_g", F.lit(1))

@@ -16,7 +16,7 @@ from tallyspark.functions.ordered import gini, spearman
 from tallyspark.operators import bayes, classifiers, features, indices, metrics, profiles, quality, regression, sampling
 from tallyspark.operators import tables as tb
 from tallyspark.operators import unsupervised
-from tallyspark.operators.cleaning import apply_missing_rules, clean_types, harmonize
+from tallyspark.operators.cleaning import apply_missing_rules, clean_and_harmonize, clean_types
 from tallyspark.plans import oracles as o
 from tallyspark.plans.census import CENSUS_RULES, census, read_census, survey, table
 from tallyspark.session import new_stage_path
@@ -148,8 +148,7 @@ def type_cleaning(spark, folder):
 
 @query(f"SELECT {', '.join(o.HARM_COLUMNS)} FROM harm", ["harm"])
 def harmonize_codes(spark, folder):
-    cleaned = clean_types(apply_missing_rules(read_census(spark, folder), CENSUS_RULES))
-    return harmonize(cleaned, CENSUS_RULES)
+    return clean_and_harmonize(read_census(spark, folder), CENSUS_RULES)
 
 
 @query("SELECT YEAR, SERIAL, PERNUM, CASE WHEN EDATTAIN IN ('1', '2') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_basic FROM clean", ["clean"])
@@ -644,10 +643,10 @@ _SIMPLE = "(SELECT *, CASE YEAR " + " ".join(
 ) + " END AS simple FROM enriched)"
 
 
-@query(_rank_sql(_SIMPLE, "wealth_index", "simple"), ["enriched"], ["YEAR"], ["rho"])
+@query("SELECT YEAR, 'pca_vs_simple_asset_score' AS comparison, rho AS spearman_rho FROM (" + _rank_sql(_SIMPLE, "wealth_index", "simple") + ")",
+       ["enriched"], ["YEAR", "comparison"], ["spearman_rho"])
 def robustness_main(spark, folder):
-    hh = indices.asset_score_by_year(survey(spark, folder).enriched, settings.ASSET_VARS_BY_YEAR)
-    return spearman(hh, ["YEAR"], "wealth_index", "simple_asset_score")
+    return indices.robustness_main(survey(spark, folder).enriched)
 
 
 _WITH_ROOMS = {y: sorted({*v, "ROOMS", "LIVEAREA"}) for y, v in settings.ASSET_VARS_BY_YEAR.items()}
@@ -663,7 +662,7 @@ _WITH_ROOMS = {y: sorted({*v, "ROOMS", "LIVEAREA"}) for y, v in settings.ASSET_V
     ["enriched"], ["YEAR", "specification", "n_variables"], ["correlation_with_main_wealth_index"], extra=o.component_ctes("rm", "hh", _WITH_ROOMS),
 )
 def robustness_specs(spark, folder):
-    return indices.robustness_specs(survey(spark, folder).enriched)["alternatives"]
+    return indices.robustness_alternatives(survey(spark, folder).enriched)
 
 
 # --- regression ----------------------------------------------------------------------

@@ -58,7 +58,6 @@ class Survey:
         """Descriptive, inequality, regional, gender, education and regression tables."""
         hh, persons = self.enriched, self.persons_with_wealth
         region_year = stage(profiles.region_year_wealth(hh), "regions")
-        robustness = indices.robustness_specs(hh)
         return {
             "household_summary_statistics": profiles.summary_stats(hh),
             "yearly_weighted_wealth_mean": profiles.yearly_mean(hh, "wealth_index", "HHWT"),
@@ -76,8 +75,8 @@ class Survey:
             "region_year_wealth": region_year,
             "regional_sigma_convergence": profiles.sigma_convergence(region_year),
             "regional_beta_convergence": profiles.beta_convergence(region_year),
-            "robustness_wealth_measurement": robustness["main"],
-            "robustness_alternative_pca_specs": robustness["alternatives"],
+            "robustness_wealth_measurement": indices.robustness_main(hh),
+            "robustness_alternative_pca_specs": indices.robustness_alternatives(hh),
             "robustness_subgroup_sensitivity": profiles.subgroup_sensitivity(hh),
         }
 
