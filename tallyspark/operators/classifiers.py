@@ -196,7 +196,8 @@ def permuted_cells(
     For each repeat the rows fall into random buckets of about a thousand; within a
     bucket, in random order, every row takes the value of the next row and the last that
     of the first. That is a permutation of the column, needs no global row number, and
-    no bucket grows with the data. One shuffle per repeat serves all features.
+    no bucket grows with the data. One shuffle per repeat serves all features. The keys
+    must identify a row: exact copies would share a bucket.
     """
     buckets = max(1, rows.count() // 1000)
     repeated = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))

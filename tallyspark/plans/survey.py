@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyspark import settings
 from tallyspark.operators import bayes, classifiers, indices, profiles, quality, regression, unsupervised
@@ -80,6 +81,22 @@ class Survey:
             "robustness_subgroup_sensitivity": profiles.subgroup_sensitivity(hh),
         }
 
+    def notes(self) -> DataFrame:
+        """How to read the proxy and robustness tables."""
+        return self.spark.createDataFrame(
+            [
+                ("education_mobility", "Cohorts and schooling-wealth links come from repeated cross-sections; they do not follow persons or families."),
+                ("wealth_measurement", "The main index is compared with an additive score, with other variable sets, and within area and period."),
+            ],
+            "topic string, note string",
+        )
+
+    def status(self, skipped: dict[str, str]) -> DataFrame:
+        """One row per component that did not run, with the reason."""
+        return self.spark.createDataFrame(
+            [(name, "skipped", reason) for name, reason in skipped.items()], "component string, status string, reason string"
+        )
+
     def validation(self) -> dict[str, DataFrame]:
         return quality.validation_suite(self.harmonized, self.rules, dictionary_frame(self.spark))
 
@@ -113,8 +130,6 @@ class Survey:
 
     def run_summary(self, learners: list[str], networks: int, components: int) -> DataFrame:
         """One row: what was analysed and how much ran."""
-        from pyspark.sql import functions as F
-
         persons = self.persons.agg(F.count(F.lit(1)).alias("n")).first()["n"]
         return self.enriched.agg(F.count(F.lit(1)).alias("households_analyzed")).select(
             F.lit(1).alias("streaming_stage_used"),

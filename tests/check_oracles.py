@@ -2,49 +2,16 @@
 
 from __future__ import annotations
 
-import glob
-import math
 import os
 import sys
 import time
 
-import duckdb
-
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as entry  # noqa: E402
 from tallyspark.session import local_session  # noqa: E402
-
-
-def connect(folder: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
-    for path in glob.glob(f"{folder}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    return con
-
-
-def plain(value):
-    if isinstance(value, float):
-        return None if math.isnan(value) else value + 0.0
-    return value
-
-
-def canonical(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-    out = [tuple(plain(r[i]) for i in order) for r in rows]
-    return [columns[i] for i in order], sorted(out, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
-
-
-def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
-    names, ours = canonical(df.columns, [tuple(r) for r in df.collect()])
-    cursor = con.execute(sql)
-    their_names, theirs = canonical([d[0] for d in cursor.description], cursor.fetchall())
-    if names != their_names:
-        return f"columns differ: {names} / {their_names}"
-    if len(ours) != len(theirs):
-        return f"rows differ: {len(ours)} / {len(theirs)}"
-    bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
-    return f"{len(bad)} of {len(ours)} rows differ, first {bad[0]}" if bad else ""
+from tests_support import compare, connect  # noqa: E402
 
 
 def main() -> int:
