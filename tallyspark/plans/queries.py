@@ -794,7 +794,7 @@ def impute_median_mode(spark, folder):
 
 
 def _hot(column: str, codes: list[str]) -> str:
-    return ", ".join(f"CASE WHEN coalesce({column}, m_{column}) = '{c}' THEN 1.0 ELSE 0.0 END" for c in codes)
+    return ", ".join(f"CASE WHEN coalesce({column}, m_{column}) = '{c}' THEN '1' ELSE '0' END" for c in codes)
 
 
 _MODE_OF = ", ".join(
@@ -804,8 +804,8 @@ _MODE_OF = ", ".join(
 
 @query(
     "SELECT URBAN_H, ELECTRIC_H, WATSUP_H, YEAR, GEO1_VN, wealth_class, train, count(*) AS n, max(round((YEAR - mu) / sd, 6)) AS year_z, "
-    "max([" + ", ".join([_hot("URBAN_H", ["0", "1"]), _hot("ELECTRIC_H", ["0", "1"]), _hot("WATSUP_H", ["10", "11", "20"]), _hot("GEO1_VN", sorted(str(i) for i in range(25)))])
-    + "]) AS one_hot FROM split, (SELECT avg(YEAR) AS mu, stddev_pop(YEAR) AS sd FROM split), (SELECT " + _MODE_OF + ") GROUP BY ALL",
+    "max(concat(" + ", ".join([_hot("URBAN_H", ["0", "1"]), _hot("ELECTRIC_H", ["0", "1"]), _hot("WATSUP_H", ["10", "11", "20"]), _hot("GEO1_VN", sorted(str(i) for i in range(25)))])
+    + ")) AS one_hot FROM split, (SELECT avg(YEAR) AS mu, stddev_pop(YEAR) AS sd FROM split), (SELECT " + _MODE_OF + ") GROUP BY ALL",
     ["split"],
 )
 def features_prepared(spark, folder):
@@ -813,10 +813,9 @@ def features_prepared(spark, folder):
 
     cells = survey(spark, folder).cells
     encoded = features.fit_encoder(cells, FEATURES).transform(cells).withColumn("f", vector_to_array("features"))
-    # The standardised year comes first, the indicator slots after it.
-    return encoded.select(
-        *FEATURES, TARGET, "train", "n", F.col("f")[0].alias("year_z"), F.slice("f", 2, 1000).alias("one_hot")
-    )
+    # The standardised year comes first, the indicator slots after it, shown as digits.
+    slots = F.expr("transform(slice(f, 2, size(f) - 1), x -> cast(cast(x AS INT) AS STRING))")
+    return encoded.select(*FEATURES, TARGET, "train", "n", F.col("f")[0].alias("year_z"), F.array_join(slots, "").alias("one_hot"))
 
 
 def _predictions(spark, folder, name: str, **options) -> DataFrame:
