@@ -35,23 +35,27 @@ KEYS = settings.HOUSEHOLD_KEYS
 YEARS = [1989, 1999, 2009, 2019]
 
 
-def query(sql: str | None = None, needs: list[str] = [], plain: list[str] = [], doubles: list[str] = [], extra=[]):
-    """Register a query; with SQL, the listed double columns are rounded on both sides."""
+def query(sql: str | None = None, needs: list[str] = [], plain: list[str] = [], doubles: list[str] = [], extra=[], digits: int = 6):
+    """Register a query; with SQL, the listed double columns are rounded on both sides.
+
+    Component scores use four digits: an eigenvector carries the summation noise of its
+    matrix divided by the gap to the next eigenvalue, and there is one score per row.
+    """
 
     def add(fn: Query) -> Query:
         name = fn.__name__
-        QUERIES[name] = lambda spark, folder: _rounded(fn(spark, folder))
+        QUERIES[name] = lambda spark, folder: _rounded(fn(spark, folder), digits)
         if sql is not None:
-            body = o.rounded(sql, plain, doubles) if plain or doubles else sql
+            body = o.rounded(sql, plain, doubles, digits) if plain or doubles else sql
             ORACLES[name] = o.with_ctes(body, needs, extra)
         return fn
 
     return add
 
 
-def _rounded(df: DataFrame) -> DataFrame:
+def _rounded(df: DataFrame, digits: int) -> DataFrame:
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)}
-    return df.select(*[F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 # --- scans, sources, sinks -------------------------------------------------------------
@@ -216,13 +220,13 @@ def dedup_keep_first(spark, folder):
 
 
 @query("SELECT YEAR, SERIAL, PERNUM, SEX_H, wealth_class, wealth_index FROM pw", ["pw"],
-       ["YEAR", "SERIAL", "PERNUM", "SEX_H", "wealth_class"], ["wealth_index"])
+       ["YEAR", "SERIAL", "PERNUM", "SEX_H", "wealth_class"], ["wealth_index"], digits=4)
 def person_wealth_join(spark, folder):
     return survey(spark, folder).persons_with_wealth.select("YEAR", "SERIAL", "PERNUM", "SEX_H", "wealth_class", "wealth_index")
 
 
 @query("SELECT YEAR, SERIAL, PERNUM, EDATTAIN_H, BIRTH_YEAR_PROXY, COHORT_DECADE, wealth_class, URBAN_H AS URBAN_H_HH, wealth_index FROM edu", ["edu"],
-       ["YEAR", "SERIAL", "PERNUM", "COHORT_DECADE", "wealth_class", "URBAN_H_HH"], ["EDATTAIN_H", "BIRTH_YEAR_PROXY", "wealth_index"])
+       ["YEAR", "SERIAL", "PERNUM", "COHORT_DECADE", "wealth_class", "URBAN_H_HH"], ["EDATTAIN_H", "BIRTH_YEAR_PROXY", "wealth_index"], digits=4)
 def person_household_join(spark, folder):
     return survey(spark, folder).education.select(
         "YEAR", "SERIAL", "PERNUM", "COHORT_DECADE", "wealth_class", "URBAN_H_HH", "EDATTAIN_H", "BIRTH_YEAR_PROXY", "wealth_index"
@@ -563,7 +567,7 @@ _POOL_SOURCE = ("pool", "SELECT 0 AS YEAR, YEAR AS y, SERIAL AS s, YEAR || '/' |
 
 @query(
     "SELECT p.y AS YEAR, p.s AS SERIAL, c.score AS space_index FROM pool p JOIN pc_score c ON c.SERIAL = p.SERIAL", ["hh"],
-    ["YEAR", "SERIAL"], ["space_index"], extra=[_POOL_SOURCE, *o.component_ctes("pc", "pool", {0: _POOLED})],
+    ["YEAR", "SERIAL"], ["space_index"], extra=[_POOL_SOURCE, *o.component_ctes("pc", "pool", {0: _POOLED})], digits=4
 )
 def pca_index(spark, folder):
     return indices.pca_index(survey(spark, folder).households, _POOLED, "space_index").select("YEAR", "SERIAL", "space_index")
@@ -576,7 +580,7 @@ def wealth_loadings(spark, folder):
 
 
 @query("SELECT YEAR, SERIAL, wealth_class, wealth_index, housing_quality_index FROM enriched", ["enriched"],
-       ["YEAR", "SERIAL", "wealth_class"], ["wealth_index", "housing_quality_index"])
+       ["YEAR", "SERIAL", "wealth_class"], ["wealth_index", "housing_quality_index"], digits=4)
 def household_indices(spark, folder):
     scored = indices.household_indices(survey(spark, folder).households)
     return scored.select("YEAR", "SERIAL", "wealth_class", "wealth_index", "housing_quality_index")
@@ -611,7 +615,7 @@ _PROGRESS = ("progress", "SELECT y AS YEAR, s AS SERIAL, u AS URBAN_H, (v - min(
 _PROGRESS_CTES = [_DIGITS, *o.component_ctes("dg", "dig", {0: settings.PROGRESS_VARS}), _PROGRESS]
 
 
-@query("SELECT YEAR, SERIAL, wealth_progress_index FROM progress", ["hh"], ["YEAR", "SERIAL"], ["wealth_progress_index"], extra=_PROGRESS_CTES)
+@query("SELECT YEAR, SERIAL, wealth_progress_index FROM progress", ["hh"], ["YEAR", "SERIAL"], ["wealth_progress_index"], extra=_PROGRESS_CTES, digits=4)
 def progress_index(spark, folder):
     return indices.progress_index(survey(spark, folder).households).select("YEAR", "SERIAL", "wealth_progress_index")
 
