@@ -176,7 +176,8 @@ def mix(
     """Rows (row, size, source_size, target, taken): how many of a document's words the mixture takes, repeats counted."""
     placed, targets = streams(docs, list(keep), text_column, source_column, seed)
     placed = stage(placed, "streams")
-    slots = deal(targets, seed, block).groupBy("number", "block_no", "words").agg(F.count(F.lit(1)).alias("times"))
+    # Stored, so that the planner sees how many slots a few sources have become.
+    slots = stage(deal(targets, seed, block).groupBy("number", "block_no", "words").agg(F.count(F.lit(1)).alias("times")), "slots")
     pieces = _pieces(placed.select("row", "number", "size", "start", "stop"), block)
     # A partial slot takes the first words of its block.
     share = F.greatest(F.least(F.col("high"), F.col("words")) - F.col("low"), F.lit(0)) * F.col("times")
@@ -205,7 +206,7 @@ def mixed_blocks(
     packed = pieces.groupBy("number", "block_no").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("low", "part"))), lambda p: p["part"])).alias("all")
     )
-    slots = deal(targets, seed, block)
+    slots = stage(deal(targets, seed, block), "slots")
     return slots.join(packed, ["number", "block_no"]).select(
         "shard", "slot", F.col("number").alias("source_number"), F.slice("all", 1, F.col("words")).alias("words")
     )
