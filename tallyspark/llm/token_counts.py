@@ -30,7 +30,7 @@ from tallyspark.session import stage
 PRE_TOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD_BYTES = 32
 HEAD_SIZE = 1 << 19
-HEAD_SAMPLE = 8_000
+HEAD_SAMPLE = 24_000
 
 
 @lru_cache(maxsize=4)
@@ -100,11 +100,11 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
 
 
 def _head(docs: DataFrame, id_column: str, text_column: str, name: str) -> tuple[pa.Array, np.ndarray]:
-    """Frequent pre-tokens of a bounded sample of rows and their piece counts; the bound holds by construction."""
+    """Frequent pre-tokens of about ``HEAD_SAMPLE`` rows and their piece counts, at most ``HEAD_SIZE``."""
+    share = min(1.0, HEAD_SAMPLE / max(1, docs.count()))
     some = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).filter(
-        F.octet_length("text") <= 8_000
+        F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1
     )
-    some = some.withColumn("order", F.xxhash64("id")).orderBy("order").limit(HEAD_SAMPLE).select("id", "text")
     words = _pre_tokens(some, "id", "text", name).select(F.explode("pre").alias("pre"))
     top = words.filter(F.octet_length("pre") <= HEAD_BYTES).groupBy("pre").count().orderBy(F.desc("count"), "pre")
     head = [row.pre for row in top.limit(HEAD_SIZE).select("pre").toLocalIterator()]
