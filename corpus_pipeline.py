@@ -9,14 +9,13 @@ from tallyspark.llm import decontamination, language, mixing, ngram_join, secret
 from tallyspark.llm.queries import held_out
 from tallyspark.session import stage
 
-MIN_LANGUAGE_SCORE = 0.4
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, and texts no language of the model fits clearly better than the others."""
+    """Drops texts without a letter, and texts that all languages of the model fit equally well."""
     model = language.train(docs.filter(~held_out()))
+    even = 1 / len(model.languages) if len(model.languages) > 1 else 0.0
     made = language.annotate(docs, model)
-    return made.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    return made.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > even)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
