@@ -169,8 +169,8 @@ def beta_convergence(region_year: DataFrame, region: str = "GEO1_VN") -> DataFra
         F.sqrt(F.col("v0") * factor).alias("intercept_se"),
         F.sqrt(F.col("v1") * factor).alias("beta_se"),
         F.col("n").alias("n_regions"),
-        F.when(F.col("b1") < 0, "Negative beta suggests convergence: poorer regions gained faster.")
-        .otherwise("Positive beta suggests divergence: richer regions gained faster.")
+        F.when(F.col("b1") < 0, "Slope below zero: regions that started lower gained more.")
+        .otherwise("Slope not below zero: regions that started higher gained more.")
         .alias("interpretation"),
     )
 

@@ -134,6 +134,21 @@ def _robust_sums(design: Design, beta: np.ndarray):
     return run
 
 
+def _minimum_norm(inverse: np.ndarray, scaled: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The generalised inverse that gives the shortest coefficients in the design's own units.
+
+    Any generalised inverse solves the normal equations; the shortest solution has no part in the null space, which is
+    found on the scaled matrix and taken back to the units of the design.
+    """
+    values, vectors = np.linalg.eigh(scaled)
+    null = vectors[:, values <= RANK_TOLERANCE * len(values)] / scale[:, None]
+    if not null.shape[1]:
+        return inverse
+    basis, _ = np.linalg.qr(null)
+    keep = np.eye(len(scaled)) - basis @ basis.T
+    return keep @ inverse @ keep
+
+
 def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "") -> DataFrame:
     """Coefficient table of a least-squares fit with HC1 robust errors.
 
@@ -170,6 +185,7 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "") -> DataFra
     scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
     scaled = xx / np.outer(scale, scale)
     inverse = np.linalg.pinv(scaled, rcond=RANK_TOLERANCE, hermitian=True) / np.outer(scale, scale)
+    inverse = _minimum_norm(inverse, scaled, scale)
     rank = int(np.linalg.matrix_rank(scaled, tol=RANK_TOLERANCE * size, hermitian=True))
     beta = inverse @ xy
     second = _gather(frame.mapInPandas(_robust_sums(design, beta), SUM_SCHEMA), size + 1)

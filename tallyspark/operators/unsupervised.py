@@ -133,7 +133,8 @@ def isolation_forest(
     """
     spark = df.sparkSession
     raw = [f"_v_{c}" for c in columns]
-    rows = df.withColumns({r: number(c) for r, c in zip(raw, columns)})
+    # Grouping takes -0.0 for 0.0; adding 0.0 makes them the same text as well.
+    rows = df.withColumns({r: number(c) + F.lit(0.0) for r, c in zip(raw, columns)})
     cells = stage(rows.groupBy(*raw).agg(F.count(F.lit(1)).alias(COUNT)), "cells")
     fill = fit_fill(cells, raw)
     # Sampled per row, not per combination, so common values stay common.

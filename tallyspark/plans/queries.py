@@ -759,7 +759,7 @@ _POINTS = (
 
 @query(
     "SELECT (SELECT min(YEAR) FROM regions) AS period_start, (SELECT max(YEAR) FROM regions) AS period_end, CAST(n AS BIGINT) AS n_regions, "
-    "CASE WHEN b1 < 0 THEN 'Negative beta suggests convergence: poorer regions gained faster.' ELSE 'Positive beta suggests divergence: richer regions gained faster.' END AS interpretation, "
+    "CASE WHEN b1 < 0 THEN 'Slope below zero: regions that started lower gained more.' ELSE 'Slope not below zero: regions that started higher gained more.' END AS interpretation, "
     "b0 AS intercept, b1 AS beta_coefficient, sqrt(v0 * n / (n - 2)) AS intercept_se, sqrt(v1 * n / (n - 2)) AS beta_se FROM ("
     "SELECT max(b0) AS b0, max(b1) AS b1, max(n) AS n, sum(e * e * (1.0 / n - mx * (x - mx) / sxx) ** 2) AS v0, sum(e * e * ((x - mx) / sxx) ** 2) AS v1 FROM ("
     f"SELECT d.*, f.*, y - b0 - b1 * x AS e FROM {_POINTS} d, (SELECT regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1, avg(x) AS mx, regr_sxx(y, x) AS sxx, count(*) AS n FROM {_POINTS}) f))",
@@ -854,14 +854,14 @@ def _train():
 
 @query()
 def clf_mlp(spark, folder):
-    net, history = classifiers.fit_network(_rows(spark, folder).filter(_train()), TARGET, FEATURES, max_iter=30)
+    net, history = classifiers.fit_network(_rows(spark, folder).filter(_train()), TARGET, FEATURES)
     result = classifiers.evaluate(net.predict(survey(spark, folder).cells.filter("NOT train")), TARGET)
     return result.select(F.lit("mlp_classifier").alias("model"), "accuracy", "macro_f1", "n_obs", F.lit(len(history)).alias("iterations"))
 
 
 @query()
 def mlp_history(spark, folder):
-    _, history = classifiers.fit_network(_rows(spark, folder).filter(_train()), TARGET, FEATURES, max_iter=10)
+    _, history = classifiers.fit_network(_rows(spark, folder).filter(_train()), TARGET, FEATURES)
     return spark.createDataFrame(list(enumerate(history)), "iteration int, loss double")
 
 
@@ -966,17 +966,17 @@ def permutation_importance(spark, folder):
 
 @query()
 def ablation(spark, folder):
-    return classifiers.ablation(_rows(spark, folder), _train(), TARGET, FEATURES, settings.ABLATION_SETS, max_iter=15)
+    return classifiers.ablation(_rows(spark, folder), _train(), TARGET, FEATURES, settings.ABLATION_SETS)
 
 
 @query()
 def kmeans_clusters(spark, folder):
-    return unsupervised.kmeans_clusters(survey(spark, folder).cells, FEATURES, starts=3)[1]
+    return unsupervised.kmeans_clusters(survey(spark, folder).cells, FEATURES)[1]
 
 
 @query()
 def kmeans_summary(spark, folder):
-    return unsupervised.cluster_summary(unsupervised.kmeans_clusters(survey(spark, folder).cells, FEATURES, starts=3)[0])
+    return unsupervised.cluster_summary(unsupervised.kmeans_clusters(survey(spark, folder).cells, FEATURES)[0])
 
 
 ANOMALY = ["YEAR", "wealth_index", "URBAN_H"]
@@ -1005,7 +1005,7 @@ def anomaly_top(spark, folder):
 def representation_benchmark(spark, folder):
     s = survey(spark, folder)
     scored = s.enriched.groupBy(*FEATURES, "wealth_index").agg(F.count(F.lit(1)).alias("n"))
-    return unsupervised.representation_benchmark(s.cells, scored, TARGET, FEATURES, starts=2)
+    return unsupervised.representation_benchmark(s.cells, scored, TARGET, FEATURES)
 
 
 # --- Bayesian network ----------------------------------------------------------------

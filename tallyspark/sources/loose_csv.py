@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +16,37 @@ def is_data_line(line: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, columns: list[str], source: str = "value") -> DataFrame:
-    """Parse data lines as CSV text columns; lines repeating the header drop out."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
+    """Parse data lines as CSV text columns; a line that repeats the header cell by cell drops out."""
+    fields = [f"_c{i}" for i in range(len(columns))]
     kept = lines.select(F.trim(F.col(source)).alias("_line")).filter(is_data_line(F.col("_line")))
-    parsed = kept.filter(F.col("_line") != ",".join(columns)).select(
-        F.from_csv("_line", schema, {"mode": "PERMISSIVE"}).alias("_row")
-    )
-    return parsed.select("_row.*")
+    parsed = kept.select(F.from_csv("_line", _texts(fields), {"mode": "PERMISSIVE"}).alias("_row")).select("_row.*")
+    return parsed.filter(~_is_header(fields, columns)).select(*[F.col(f).alias(c) for f, c in zip(fields, columns)])
+
+
+def _texts(columns: list[str]) -> str:
+    return ", ".join(f"`{c}` string" for c in columns)
+
+
+def _is_header(fields: list[str], columns: list[str]) -> Column:
+    """Whether all cells are the names of their columns."""
+    same = F.lit(True)
+    for field, column in zip(fields, columns):
+        same = same & F.coalesce(F.trim(F.col(field)) == column, F.lit(False))
+    return same
+
+
+def _cells(line: str) -> list[str]:
+    """One CSV line's cells, quotes taken off."""
+    return [cell.strip() for cell in next(csv.reader([line.strip()], skipinitialspace=True))]
 
 
 def read_loose_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Loose CSV file with its header on the first data line."""
+    """Loose CSV file with its header on the first data line, quoted or not; a header in each of several files drops out."""
     lines = spark.read.text(path)
     first = lines.filter(is_data_line(F.col("value"))).first()
     if first is None:
         raise ValueError(f"no data lines in {path}")
-    columns = [c.strip() for c in first["value"].strip().split(",")]
-    return parse_lines(lines, columns)
+    return parse_lines(lines, _cells(first["value"]))
 
 
 def unpivot_years(wide: DataFrame, ids: list[str]) -> DataFrame:
@@ -42,15 +58,23 @@ def unpivot_years(wide: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def read_yearly_series(spark: SparkSession, path: str, preamble: int = 4) -> DataFrame:
-    """Wide yearly series whose header follows ``preamble`` text lines.
+    """Wide yearly series whose header follows ``preamble`` text lines; the data lines are those after the header.
 
-    Preamble and header come from the head of the file, so only those lines reach
-    the driver; data lines are the ones as wide as the header.
+    Only the head of the first file reaches the driver. Lines equal to the preamble or the header, cell by cell, drop out.
     """
     lines = spark.read.text(path)
     head = [r["value"] for r in lines.limit(preamble + 1).collect()]
-    header = head[-1].strip()
-    columns = [c.strip().strip('"') for c in header.split(",")]
-    body = lines.filter(~F.col("value").isin(*head[:preamble]) & (F.trim("value") != header))
-    schema = ", ".join(f"`{c or f'_blank{i}'}` string" for i, c in enumerate(columns))
-    return body.select(F.from_csv("value", schema).alias("_row")).select("_row.*")
+    columns = [name or f"_blank{i}" for i, name in enumerate(_cells(head[-1]))]
+    fields = [f"_c{i}" for i in range(len(columns))]
+    named = [i for i, name in enumerate(columns) if not name.startswith("_blank")]
+    parsed = lines.select(F.from_csv("value", _texts(fields)).alias("_row")).select("_row.*")
+    whole = F.lit(True)
+    for text in head[:preamble]:
+        cells = (_cells(text) + [""] * len(columns))[: len(columns)] if text.strip() else [""] * len(columns)
+        same = F.lit(True)
+        for field, cell in zip(fields, cells):
+            same = same & (F.trim(F.coalesce(F.col(field), F.lit(""))) == cell)
+        whole = whole & ~same
+    some = F.coalesce(*[F.col(fields[i]) for i in named]).isNotNull()
+    kept = parsed.filter(whole & some & ~_is_header([fields[i] for i in named], [columns[i] for i in named]))
+    return kept.select(*[F.col(f).alias(c) for f, c in zip(fields, columns)])

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyspark import settings
 from tallyspark.functions.columns import lower_names
@@ -16,6 +17,7 @@ MISSING_COLUMNS = ["variable_name", "year", "missing_codes"]
 HARMONIZATION_COLUMNS = ["variable_name", "year", "original_code", "harmonized_code"]
 DICTIONARY_COLUMNS = ["variable_name", "level", "dtype", "description", "use_in_analysis"]
 MAX_RULES = 20_000
+BROKEN = "_broken_line"
 
 
 def canon_text(value) -> str:
@@ -75,9 +77,14 @@ def _rows(frame: DataFrame | None, columns: list[str]) -> list[tuple]:
 
 def load_rule_table(spark: SparkSession, path: str) -> DataFrame:
     """Strict CSV parse with lower-case headers; a file it rejects is read as loose CSV."""
-    header = [c.strip().lower() for c in spark.read.option("header", True).csv(path).columns]
-    if "variable_name" in header:
-        return lower_names(spark.read.option("header", True).option("mode", "FAILFAST").csv(path))
+    header = spark.read.option("header", True).csv(path).schema
+    if "variable_name" in [c.strip().lower() for c in header.names]:
+        # Lines that do not parse show up in a column of their own; there are at most MAX_RULES rows.
+        marked = StructType([*header.fields, StructField(BROKEN, StringType())])
+        strict = spark.read.option("header", True).option("columnNameOfCorruptRecord", BROKEN).schema(marked).csv(path)
+        rows = bounded_rows(strict, MAX_RULES, "rules")
+        if all(row[BROKEN] is None for row in rows):
+            return lower_names(spark.createDataFrame(rows, marked).drop(BROKEN))
     return lower_names(read_loose_csv(spark, path))
 
 
