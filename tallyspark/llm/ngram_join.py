@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components
-from tallyspark.llm.words import digests, mix, reduce_rows, shingles, slices, words_of
+from tallyspark.llm.words import digests, reduce_rows, shingles, slices, words_of
 from tallyspark.session import stage
 
 SIZE = 5
