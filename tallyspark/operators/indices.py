@@ -250,6 +250,17 @@ def progress_means(df: DataFrame, groups: list[list[str]], value: str = "wealth_
     return out
 
 
+def progress_by_schooling(persons: DataFrame, schooling: str = "EDATTAIN_H", outside: tuple[str, ...] = ("0", "9")) -> DataFrame:
+    """Mean progress index by year and schooling, the index fitted on persons alone.
+
+    Persons too young for school or of unknown schooling (codes ``outside``) take no part. Those without a code help to
+    fit the index but have no group.
+    """
+    code = F.col(schooling).cast("string")
+    scored = progress_index(persons.filter(code.isNull() | ~code.isin(*outside)))
+    return progress_means(scored.filter(F.col(schooling).isNotNull()), [["YEAR", schooling]]).drop("grouping")
+
+
 def index_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return spearman(df, ["YEAR"], a, b)
 

@@ -161,6 +161,7 @@ def beta_convergence(region_year: DataFrame, region: str = "GEO1_VN") -> DataFra
         F.sum(error * lever**2).alias("v0"),
     )
     factor = F.col("n") / F.nullif(F.col("n") - 2, F.lit(0))
+    slope = sums.select((F.col("b1") / F.nullif(F.sqrt(F.col("v1") * factor), F.lit(0.0))).alias("z")).first()["z"]
     return sums.select(
         F.lit(int(first)).alias("period_start"),
         F.lit(int(last)).alias("period_end"),
@@ -168,6 +169,7 @@ def beta_convergence(region_year: DataFrame, region: str = "GEO1_VN") -> DataFra
         F.col("b1").alias("beta_coefficient"),
         F.sqrt(F.col("v0") * factor).alias("intercept_se"),
         F.sqrt(F.col("v1") * factor).alias("beta_se"),
+        F.lit(None if slope is None else normal_p_value(slope)).cast("double").alias("beta_p_value"),
         F.col("n").alias("n_regions"),
         F.when(F.col("b1") < 0, "Slope below zero: regions that started lower gained more.")
         .otherwise("Slope not below zero: regions that started higher gained more.")

@@ -1,8 +1,10 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from tallyspark.operators import profiles, quality, tables
+from tallyspark.operators import indices, profiles, quality, tables
 from tallyspark.sources.rules import RuleSet, dictionary_frame
 
 
@@ -116,7 +118,31 @@ def test_beta_convergence_shift_and_errors(spark):
     cov = inverse @ (design.T * error**2) @ design @ inverse * 4 / 2
     assert got["beta_coefficient"] == pytest.approx(beta[1]) and got["intercept"] == pytest.approx(beta[0])
     assert got["beta_se"] == pytest.approx(np.sqrt(cov[1, 1])) and got["intercept_se"] == pytest.approx(np.sqrt(cov[0, 0]))
-    assert got["interpretation"].startswith("Negative")
+    assert got["beta_p_value"] == pytest.approx(math.erfc(abs(beta[1]) / np.sqrt(2 * cov[1, 1])))
+    assert got["interpretation"].startswith("Slope below zero")
+
+
+def test_progress_by_schooling_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    codes = {"EDATTAIN_H": ["0", "1", "2", "9", None], "ELECTRIC_H": ["0", "1", None], "WATSUP_H": ["a11", "21", None], "URBAN_H": ["0", "1"]}
+    years = [1989, 1999, 2019]
+    rows = [(int(rng.choice(years)), *(v[rng.integers(len(v))] for v in codes.values())) for _ in range(400)]
+    frame = spark.createDataFrame(rows + rows[:20], "YEAR int, " + ", ".join(f"{c} string" for c in codes))
+    got = {(r["YEAR"], r["EDATTAIN_H"]): (r["mean_index"], r["n_obs"]) for r in indices.progress_by_schooling(frame).collect()}
+
+    local = pd.DataFrame(rows + rows[:20], columns=["YEAR", *codes])
+    local = local[~local["EDATTAIN_H"].isin(["0", "9"])]
+    digits = local[["ELECTRIC_H", "WATSUP_H", "URBAN_H"]].apply(lambda c: c.str.extract(r"(\d+)")[0].astype(float))
+    digits = digits.fillna(digits.median())
+    scaled = ((digits - digits.mean()) / digits.std(ddof=0)).to_numpy()
+    score = scaled @ np.linalg.eigh(np.cov(scaled.T))[1][:, -1]
+    if score[local["YEAR"] == 1989].mean() > score[local["YEAR"] == 2019].mean():
+        score = -score
+    local["i"] = (score - score.min()) / (score.max() - score.min()) * 100
+    want = local.groupby(["YEAR", "EDATTAIN_H"])["i"].agg(["mean", "size"])
+    assert set(got) == set(want.index)
+    for key, (mean, size) in want.iterrows():
+        assert got[key][0] == pytest.approx(mean) and got[key][1] == size
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
