@@ -60,6 +60,9 @@ class Survey:
         hh, persons = self.enriched, self.persons_with_wealth
         region_year = stage(profiles.region_year_wealth(hh), "regions")
         return {
+            "wealth_pca_loadings": indices.loadings_table(self.households, indices.fit_components(self.households, settings.ASSET_VARS_BY_YEAR)),
+            "housing_pca_loadings": indices.loadings_table(self.households, indices.fit_components(self.households, settings.HOUSING_VARS_BY_YEAR)),
+            "progress_by_schooling": indices.progress_by_schooling(self.harmonized),
             "household_summary_statistics": profiles.summary_stats(hh),
             "yearly_weighted_wealth_mean": profiles.yearly_mean(hh, "wealth_index", "HHWT"),
             "yearly_weighted_gini": gini(hh, ["YEAR"], "wealth_index", "HHWT"),
