@@ -257,3 +257,27 @@ def test_mixed_blocks(spark):
     assert all(set(r.words) <= streams for r in blocks)
 
 
+def test_near_duplicates_of_large_families(spark):
+    rng = random.Random(21)
+    base, rows = sentence(rng, 200).split(), []
+    for k in range(120):  # a dense family: all links count, copies included
+        own = list(base)
+        own[rng.randrange(200)] = f"n{k}"
+        rows.append((k, " ".join(own), "x", "s"))
+    rows.append((900, rows[5][1], "x", "s"))
+    frame = sentence(rng, 120).split()
+    for k in range(0, 160, 2):  # a template: only the planted pairs are linked
+        own = frame[:60] + sentence(rng, 22).split() + frame[60:]
+        near = list(own)
+        near[3] = near[130] = "other"
+        rows += [(1_000 + k, " ".join(own), "x", "s"), (1_001 + k, " ".join(near), "x", "s")]
+    sets = {}
+    for i, text, _, _ in rows:
+        words = text.split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+    links = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    members, listed = ngram_join.near_duplicates(docs_of(spark, rows))
+    degree = collections.Counter(a for a, _ in links)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in members.collect()}
+    assert got == {i: (0 if i < 1_000 else i - i % 2, degree[i]) for i in sets}
+    assert {(r.a, r.b) for r in listed.collect()} == {(a, b) for a, b in links if a < b and b != 900}  # 900 is a copy
