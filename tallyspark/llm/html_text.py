@@ -2,9 +2,10 @@
 
 The standard library's parser streams its events into lines, one for each block of the page. Each line has a text-to-tag
 ratio; the ratios are smoothed by a Gaussian, and a two-way threshold clustering of the smoothed values selects content lines.
-The innermost container around the selected lines is the article: all its blocks are returned, headings and short paragraphs
+The innermost container around all selected lines is the article: all its blocks are returned, headings and short paragraphs
 included, except what the markup itself declares to be a menu, header, footer, sidebar, notice, advert, form,
-script, style or reader comment.
+script, style or reader comment. A name that only speaks of the layout declares nothing if its container holds the only
+article, or most of the selected text.
 
 Results: one row for each input row, in any number. A null or empty html gives the empty text. Incomplete markup is
 read as far as it goes. Repeated rows give repeated results; other columns are ignored.
@@ -37,11 +38,16 @@ CONTAINERS = {
 } | SKIPPED
 # Fixed value: words in class, id and role that declare something other than the article.
 DECLARED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|"
+    r"(?:^|\s|(?<!\bhas)(?<!\bno)(?<!\bwith)(?<!\bwithout)[_-])(nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|"
     r"sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|comment|"
     r"comments|disqus|reply|replies|share|sharing|social|related|breadcrumb|breadcrumbs|login|signup|search|complementary|"
-    r"contentinfo)(?:$|[\s_-])"
+    r"contentinfo)(?=$|[\s_-])"
 )
+# Fixed value: of these, the names that wrappers of a whole page bear as well.
+LAYOUT = {
+    "nav", "navbar", "navigation", "menu", "header", "masthead", "footer", "sidebar", "aside", "banner", "ad", "ads", "social", "share",
+    "sharing", "breadcrumb", "breadcrumbs", "search",
+}
 _BROKEN_TAG = re.compile(r"<[a-zA-Z/!][^<>]*\Z")  # the page breaks off inside a tag
 SIGMA = 2.0
 
@@ -53,6 +59,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.names: dict[int, str] = {0: ""}
+        self.declared: dict[int, bool] = {}  # containers with a declared name; whether it is one of the layout only
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]
         self.parts: list[str] = []
         self.tags = 0
@@ -76,7 +83,8 @@ class _Lines(HTMLParser):
                 inside = any(name in ("article", "main") for name, _, _ in self.open)
                 skip = tag == "header" and not inside
                 words = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
-                skip = skip or (tag not in ("article", "main") and bool(words) and bool(DECLARED.search(words)))
+                if tag not in ("article", "main") and words and (named := DECLARED.findall(words)):
+                    self.declared[len(self.names)] = LAYOUT.issuperset(named)
             self.names[len(self.names)] = tag
             self.open.append((tag, len(self.names) - 1, skip))
 
@@ -121,6 +129,27 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
+def _kept_out(parser: _Lines, chosen: list[int], lines: list[int]) -> set[int]:
+    """The containers that are left out by their names."""
+    weight: dict[int, int] = {}
+    for k in chosen:
+        for node in parser.declared.keys() & parser.lines[k][2]:
+            weight[node] = weight.get(node, 0) + len(parser.lines[k][0])
+    total = sum(len(parser.lines[k][0]) for k in chosen)
+    around: set[int] = set()  # declared containers that hold an article
+    free = False
+    for k in lines:
+        path = parser.lines[k][2]
+        inner = max((at for at, node in enumerate(path) if parser.names[node] in ("article", "main")), default=0)
+        named = parser.declared.keys() & path[:inner]
+        around |= named
+        free |= inner > 0 and not named
+    return {
+        node for node, layout in parser.declared.items()
+        if not (layout and (2 * weight.get(node, 0) > total or (node in around and not free)))
+    }
+
+
 def extract(html: str | None, sigma: float = SIGMA) -> str:
     """The article's blocks, joined by an empty line."""
     parser, html = _Lines(), html or ""
@@ -134,6 +163,11 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
         return ""
     ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]), sigma)
     cut = threshold(ratio)
+    if parser.declared:
+        out = _kept_out(parser, [k for k in own if ratio[k] >= cut], own)
+        own = [k for k in own if out.isdisjoint(lines[k][2])]
+        if not own:
+            return ""
     chosen = [k for k in own if ratio[k] >= cut] or own
     weight: dict[int, int] = {}
     for k in chosen:
@@ -145,11 +179,8 @@ def extract(html: str | None, sigma: float = SIGMA) -> str:
         node = max(declared, key=lambda n: (weight.get(n, 0), n))
     else:
         total = sum(len(lines[k][0]) for k in chosen)
-        node = max(n for n, w in weight.items() if w >= 0.9 * total)
-    kept = [k for k in own if node in lines[k][2]]
-    if parser.names[node] in ("", "html", "body"):
-        kept = [k for k in kept if chosen[0] <= k <= chosen[-1]]
-    return "\n\n".join(lines[k][0] for k in kept)
+        node = max(n for n, w in weight.items() if w == total)
+    return "\n\n".join(lines[k][0] for k in own if node in lines[k][2])
 
 
 def main_text(

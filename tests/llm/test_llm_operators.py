@@ -108,6 +108,22 @@ def test_html():
     assert html_text.extract("just text") == "just text"
 
 
+def test_html_keeps_what_it_selects():
+    para = "A paragraph of the body that is long enough to be selected by its ratio of text to tags, like the others. "
+    body = "".join(f"<p>{para}{k}</p>" for k in range(12))
+    want = "\n\n".join(f"{para}{k}" for k in range(12))
+    lead = "The lead stands beside the body, is about as long as its paragraphs are, and so is selected as well as all of them."
+    foot = "<nav>" + "<p><a href=/>x</a></p>" * 20 + "</nav>"
+    page = f"<body><div class=lead><p>{lead}</p></div><div class=body>{body}<p>End.</p></div>{foot}</body>"
+    assert html_text.extract(page) == f"{lead}\n\n{want}\n\nEnd."
+    menu = "<div class=menu><a href=/>Home</a></div><div class='comment-list'><p>A comment.</p></div>"
+    for name in ("layout with-sidebar", "has-header", "page sidebar", "no-nav"):
+        assert html_text.extract(f"<body><div class='{name}'>{menu}<article>{body}</article></div></body>") == want
+        assert html_text.extract(f"<body><div class='{name}'>{menu}<div>{body}</div></div></body>") == want
+    assert html_text.extract(f"<body><div id=comments><article>{body}</article></div><div>{body}</div></body>") == want
+    assert html_text.extract(f"<body><article>{body}</article><div class=sidebar><article>Teaser</article></div></body>") == want
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>", "n"), (1, "u", "<p>a</p>", "n"), (2, None, None, "n"), (None, "v", "<p>" * 5_000 + "deep", "n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
