@@ -1,8 +1,9 @@
 """Mixing sources to target weights, by blocks.
 
 Each source's words are one stream: its documents in the order of a seeded hash. The stream is packed into blocks of
-``block`` words. A source's target buys that many slots (the last one may be partial); the slots are dealt to output
-shards by a multinomial draw for each source, so every shard gets its own random mixture while the sums stay exact. A
+``block`` words, of which the last may be shorter. A source buys slots until their blocks hold its target's words (the last
+slot may be partial); the slots are dealt to output shards by a multinomial draw for each source, so every shard gets its own
+random mixture while the sums stay exact. A
 slot's number is mapped to a block through pseudorandom permutations of the source's block numbers, a new one for each
 pass over the source, and a join by source and block number brings slots and documents together.
 
@@ -64,8 +65,18 @@ def _source_seed(seed: int, no_source: bool, source: str, use: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}|{use}|{name}".encode(), digest_size=8).digest(), "big")
 
 
-def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Pseudorandom permutations of range(n): a four-round Feistel network on the next even number of bits, walked until inside."""
+def _scrambled(x: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
+    x = (x + key + np.uint64(turn * 0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """Pseudorandom permutations of range(n): a four-round Feistel network on the next even number of bits, walked until inside.
+
+    ``back`` gives the inverse.
+    """
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     out = index.astype(np.uint64)
@@ -74,38 +85,65 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
         h, m, k = half[todo], mask[todo], key[todo]
         left, right = out[todo] >> h, out[todo] & m
         for turn in range(4):
-            x = (right + k + np.uint64(turn * 0x9E37)) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            left, right = right, left ^ (x & m)
+            if back:
+                left, right = right ^ (_scrambled(left, k, 3 - turn) & m), left
+            else:
+                left, right = right, left ^ (_scrambled(right, k, turn) & m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= n[todo].astype(np.uint64)]
     return out.astype(np.int64)
 
 
+def _pass_keys(key: int, turn: np.ndarray) -> np.ndarray:
+    return np.uint64(key) + turn.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+
+
+def slots_of(words: int, target: int, key: int, block: int = BLOCK) -> tuple[int, int]:
+    """How many slots hold the target's words, and how many words the last one takes.
+
+    A whole pass holds all words of the source. In the last, partial one all blocks are full but the source's last, so
+    its place in that pass tells how many are needed.
+    """
+    blocks = -(-words // block)
+    passes, rest = divmod(target, words)
+    if not rest:
+        return passes * blocks, block
+    short = words - (blocks - 1) * block
+    place = int(permute(np.array([blocks - 1]), np.array([blocks]), _pass_keys(key, np.array([passes])), back=True)[0])
+    if place * block >= rest:
+        slots = -(-rest // block)
+        return passes * blocks + slots, rest - (slots - 1) * block
+    after = max(0, -(-(rest - place * block - short) // block))  # full blocks that follow the short one
+    last = rest - place * block if not after else rest - (place + after - 1) * block - short
+    return passes * blocks + place + 1 + after, last
+
+
 def deal(targets: DataFrame, seed: int = SEED, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """Slots of the mixture: (number, shard, slot, block_no, words), for the sources of ``source_targets``."""
-    total = targets.agg(F.sum(F.ceil(F.col("target") / block))).first()[0] or 0
+    per_pass = F.ceil(F.col("words") / block)
+    most = F.least(F.ceil(F.col("target") / block) + F.ceil(F.col("target") / F.col("words")), per_pass * MOST)
+    total = targets.filter("words > 0").agg(F.sum(most)).first()[0] or 0
     shards = max(1, -(-total // shard_slots))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 rng = np.random.Generator(np.random.PCG64(_source_seed(seed, row["no_source"], row["source"], "draw")))
-                slots = -(-int(round(row["target"])) // block)
+                key = _source_seed(seed, row["no_source"], row["source"], "order") >> 1
+                target = min(int(round(row["target"])), MOST * row["words"])
+                slots, last = slots_of(row["words"], target, key, block)
                 counts = rng.multinomial(slots, np.full(shards, 1.0 / shards))
                 first = np.concatenate(([0], np.cumsum(counts)))[:-1]
                 used = np.flatnonzero(counts)
-                key = _source_seed(seed, row["no_source"], row["source"], "order") >> 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(used), row["number"]), pa.int32()), pa.array(used, pa.int32()),
                         pa.array(first[used], pa.int64()), pa.array(counts[used], pa.int64()),
                         pa.array(np.full(len(used), -(-row["words"] // block)), pa.int64()),
-                        pa.array(np.full(len(used), int(round(row["target"]))), pa.int64()), pa.array(np.full(len(used), key), pa.int64()),
+                        pa.array(np.full(len(used), slots - 1), pa.int64()),
+                        pa.array(np.full(len(used), last), pa.int64()), pa.array(np.full(len(used), key), pa.int64()),
                     ],
-                    ["number", "shard", "first", "slots", "blocks", "target", "key"],
+                    ["number", "shard", "first", "slots", "blocks", "last", "last_words", "key"],
                 )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +152,8 @@ def deal(targets: DataFrame, seed: int = SEED, block: int = BLOCK, shard_slots:
                 row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
                 slot = row["first"] + np.arange(row["slots"])
                 turn, index = np.divmod(slot, row["blocks"])
-                key = np.uint64(row["key"]) + turn.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-                place = permute(index, np.full(len(slot), row["blocks"]), key)
-                words = np.minimum(block, row["target"] - slot * block)
+                place = permute(index, np.full(len(slot), row["blocks"]), _pass_keys(row["key"], turn))
+                words = np.where(slot == row["last"], row["last_words"], block)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(slot), row["number"]), pa.int32()), pa.array(np.full(len(slot), row["shard"]), pa.int32()),
@@ -126,7 +163,7 @@ def deal(targets: DataFrame, seed: int = SEED, block: int = BLOCK, shard_slots:
                 )
 
     counts = targets.filter("words > 0").select("no_source", "source", "number", "words", "target").mapInArrow(
-        draw, "number int, shard int, first long, slots long, blocks long, target long, key long"
+        draw, "number int, shard int, first long, slots long, blocks long, last long, last_words long, key long"
     )
     dealt = counts.repartition("number", "shard")
     return dealt.mapInArrow(spread, "number int, shard int, slot long, block_no long, words int")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -262,6 +263,30 @@ def test_mixing(spark, corpus):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_mixing_of_small_sources(spark):
+    rng = random.Random(6)
+    rows = [(k, sentence(rng, 100), "x", "z") for k in range(200)]
+    for k, n in enumerate((5, 20, 40, 64, 65, 130, 200)):
+        rows += [(1_000 + k, sentence(rng, n), "x", f"a{k}")]
+    docs = docs_of(spark, rows)
+    source = {i: s for i, _, _, s in rows}
+    for block in (64, 16):
+        got = mixing.mix(docs, block=block).collect()
+        taken = collections.Counter()
+        for r in got:
+            taken[source[r.row.doc_id]] += r.taken
+            assert r.taken <= 3 * r.size
+        assert all(taken[source[r.row.doc_id]] == round(r.target) for r in got)
+    for words in (1, 5, 64, 65, 200, 1_000):
+        blocks = -(-words // 64)
+        for target in {1, words // 3, words, words + 1, 2 * words - 1, 2 * words + words // 2, 3 * words} - {0}:
+            slots, last = mixing.slots_of(words, target, 77)
+            turn, index = np.divmod(np.arange(slots), blocks)
+            place = mixing.permute(index, np.full(slots, blocks), mixing._pass_keys(77, turn))
+            held = np.where(place == blocks - 1, words - (blocks - 1) * 64, 64)
+            assert held[:-1].sum() + min(last, held[-1]) == target and slots <= 3 * blocks and last > 0
+
+
 def test_mixed_blocks(spark):
     rng = random.Random(4)
     rows = [(k, sentence(rng, 100), "x", "a" if k % 2 else "b") for k in range(20)]
