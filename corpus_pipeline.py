@@ -32,10 +32,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    leaks = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = stage(leaks.select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item; rows without an id are known by their text."""
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    keyed = docs.select(F.struct("doc_id", key.alias("text_key")).alias("leak"), "text")
+    leaks = decontamination.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="leak")
+    leaked = stage(leaks.select(F.col("leak.doc_id").alias("own_id"), F.col("leak.text_key").alias("own_key")).distinct(), "leaked")
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["own_id"]) & key.eqNullSafe(leaked["own_key"]), "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,16 @@ def test_stages(spark, tmp_path):
     assert mixed.columns[: len(columns)] == columns and mixed.filter("taken <= 0 or taken > 3 * size").count() == 0
 
 
+def test_leaks_without_an_id(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(1)
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").filter("text is not null").first().text
+    bare = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    rows = bare.withColumn("text", F.lit(f"before {item} after")).union(bare.withColumn("text", F.lit("a clean row")))
+    rows = rows.union(bare.withColumn("text", F.lit(None).cast("string"))).union(docs.withColumn("text", F.lit(item)))
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, rows, SMALL)
+    assert sorted(str(r.text) for r in kept.collect()) == ["None", "a clean row"]
+
+
 def test_whole_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 
