@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat_format, decontamination, html_text, language, mixing, ngram_join, passages, repetition, secret_scan
-from tallyspark.llm import token_counts
+from tallyspark.llm import centroids, chat_format, decontamination, html_text, language, mixing, ngram_join, passages
+from tallyspark.llm import periodic_runs, repetition, secret_scan, token_counts, toxicity
 
 WORD_LIMIT = 512
 PROBE = "</s>[INST] ok [/INST]"
@@ -94,11 +94,31 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    model = toxicity.train(docs, _table(spark, folder, "labels").filter(~held))
+    made = toxicity.score(docs, model)
+    return made.select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("sentences").cast("long").alias("n_offending"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    made = periodic_runs.describe_runs(_table(spark, folder, "documents"), plant=True)
+    return made.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.with_inertia(centroids.cluster(_table(spark, folder, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_repetition, op3_chat_format, op4_html_text, op5_language_id, op6_passages, op7_secret_scan,
-        op8_ngram_join, op9_decontamination, op10_mixing,
+        op8_ngram_join, op9_decontamination, op10_mixing, op11_toxicity, op12_periodic_runs, op13_centroids,
     )
 }
 
@@ -111,6 +131,23 @@ _REPEATED = """
   ) GROUP BY doc_id
 """
 
+_NEAREST = """
+a{step} AS MATERIALIZED (
+  SELECT vec_id, place, q, min(d * 16 + cluster) % 16 AS cluster, min(d * 16 + cluster) // 16 AS distance FROM (
+    SELECT v.vec_id, v.place, v.q, c.cluster, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM v CROSS JOIN c{step} c
+  ) GROUP BY vec_id, place, q
+)"""
+_MOVED = """
+c{next} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{step} c LEFT JOIN (
+    SELECT cluster, list(mean ORDER BY i) AS q FROM (
+      SELECT cluster, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS mean
+      FROM (SELECT cluster, unnest(range(1, 65)) AS i, unnest(q) AS x FROM a{step}) GROUP BY cluster, i
+    ) GROUP BY cluster
+  ) m USING (cluster)
+)"""
+
 ORACLES: dict[str, str] = {
     "op2_repetition": f"""
 WITH w AS (
@@ -176,5 +213,22 @@ reach AS (
 SELECT d.doc_id, r.class_id, coalesce(l.n_links, 0) AS n_links
 FROM documents d JOIN (SELECT node, min(root) AS class_id FROM reach GROUP BY node) r ON r.node = d.doc_id
 LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) l ON l.a = d.doc_id
+""",
+    "op13_centroids": """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, q)) - 1 AS cluster, q
+  FROM v ORDER BY sha256('1:' || vec_id) NULLS LAST, q LIMIT 16
+),"""
+    + ",".join(_NEAREST.format(step=i) + "," + _MOVED.format(step=i, next=i + 1) for i in range(3))
+    + ","
+    + _NEAREST.format(step=3)
+    + """
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON c.cluster = a.cluster
 """,
 }
