@@ -25,10 +25,12 @@ from tallyspark import settings
 from tallyspark.functions.columns import hash_word
 from tallyspark.operators.features import COUNT, Encoder, fit_encoder
 from tallyspark.operators.metrics import confusion_counts, scores, subgroup_scores
+from tallyspark.operators import trees
 from tallyspark.operators.profiles import survey_years
 from tallyspark.session import stage
 
 ROWS_PER_TASK = 20_000
+DEPTH = 30  # the deepest forest that Spark's own learner grows
 
 
 class Classifier:
@@ -51,18 +53,18 @@ def _logistic(n_rows: int, width: int, classes: int, **_):
     )
 
 
-def _forest(n_rows: int, width: int, classes: int, trees: int = 300, depth: int = 12, **_):
-    # Resampling rows barely moves the weight of a large cell, so the trees differ by
-    # their feature subsets; resampling whole cells would not match resampling rows.
+def _forest(n_rows: int, width: int, classes: int, trees: int = 300, depth: int = DEPTH, **_):
+    # Reached when features hardly repeat: cells are rows then, and resampling cells is resampling rows.
     return RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="sqrt", seed=settings.SEED,
+        numTrees=trees, maxDepth=depth, bootstrap=True, featureSubsetStrategy="sqrt", seed=settings.SEED,
         weightCol=COUNT, labelCol="_y", maxMemoryInMB=1024,
     )
 
 
 def _boosted(n_rows: int, width: int, classes: int, rounds: int = 300, depth: int = 6, **_):
+    # As for the forest; one tree ensemble per class.
     one = GBTClassifier(
-        maxIter=rounds, stepSize=0.05, maxDepth=depth, seed=settings.SEED, weightCol=COUNT, labelCol="_y"
+        maxIter=rounds, stepSize=0.05, maxDepth=depth, subsamplingRate=0.9, seed=settings.SEED, weightCol=COUNT, labelCol="_y"
     )
     return OneVsRest(classifier=one, labelCol="_y", weightCol=COUNT, parallelism=classes)
 
@@ -72,6 +74,14 @@ def _margin(n_rows: int, width: int, classes: int, **_):
     return OneVsRest(classifier=one, labelCol="_y", weightCol=COUNT, parallelism=classes)
 
 
+def _on_cells(name: str, encoded: DataFrame, classes: int, rounds: int = 300, depth: int | None = None, **options) -> trees.TreeLearner:
+    """Forest with row resampling, or boosting of all classes at once, on cells that are few enough."""
+    spark, table = encoded.sparkSession, trees.table_of(encoded, classes, COUNT)
+    if name == "random_forest":
+        return trees.TreeLearner(trees.fit_forest(spark, table, options.get("trees", 300), depth or DEPTH, settings.SEED))
+    return trees.TreeLearner(trees.fit_boosted(spark, [table], rounds, depth or 6, seed=settings.SEED)[0])
+
+
 LEARNERS = {"logistic_regression": _logistic, "random_forest": _forest, "svm_rbf": _margin, "boosted_trees": _boosted}
 
 
@@ -117,12 +127,32 @@ def fit_classifier(name: str, cells: DataFrame, target: str, features: list[str]
     expand: Callable[[DataFrame], DataFrame] = lambda df: df
     if name == "svm_rbf":
         expand = fourier_features(width, kernel_scale(encoded, width), options.get("fourier_size", 64), settings.SEED)
+    if name in ("random_forest", "boosted_trees") and trees.fits(train):
+        return Classifier(encoder, labels, _on_cells(name, encoded, len(labels), **options), expand)
     prepared = keep_vectors(expand(encoded).select("_y", "features", COUNT), train.count())
     learner = LEARNERS[name](n_rows=n_rows, width=width, classes=len(labels), **options).fit(prepared)
     prepared.unpersist()
     return Classifier(encoder, labels, learner, expand)
 
 
+def first_splits(cells: DataFrame, target: str, features: list[str], rate: float = 0.05) -> DataFrame:
+    """The root of each class's first boosted tree on all rows: its gain and its two leaves."""
+    train = cells.select(*features, target, COUNT)
+    encoder = fit_encoder(train, features)
+    indexer = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
+    encoded = indexer.transform(encoder.transform(train)).withColumn(COUNT, F.col(COUNT).cast("double"))
+    table = trees.table_of(encoded, len(indexer.labels), COUNT)
+    n = table.counts.sum(axis=1)
+    share, every = 1.0 / len(indexer.labels), np.arange(len(table.columns))
+    rows = []
+    for k, (_, _, nodes) in enumerate(trees.boost(table, 1, 1, rate, 1.0, 1.0, settings.SEED)):
+        g, h = n * share - table.counts[:, k], 2.0 * n * share * (1.0 - share)
+        _, gain = trees.best_splits(table, every, np.zeros(len(n), dtype=int), 1, g, h)
+        leaves = sorted(float(node[-1]) for node in nodes if node[1] < 0)
+        rows.append((indexer.labels[k], float(gain[0]), leaves[0], leaves[-1]))
+    return cells.sparkSession.createDataFrame(rows, "wealth_class string, gain double, low_leaf double, high_leaf double")
+
+
 def keep_vectors(df: DataFrame, size: int) -> DataFrame:
     """Hold what a learner iterates over in executor storage, in tasks of a useful size.
 
@@ -153,22 +183,28 @@ def evaluate(predictions: DataFrame, target: str, keys: list[str] = []) -> DataF
     return scores(confusion_counts(predictions, target, "prediction", keys, F.col(COUNT)), keys)
 
 
+def compare_fitted(models: dict[str, Classifier], test_cells: DataFrame, target: str) -> DataFrame:
+    """Accuracy and macro F1 of fitted models on the held-out cells."""
+    tables = [
+        evaluate(model.predict(test_cells), target).select(F.lit(name).alias("model"), "accuracy", "macro_f1")
+        for name, model in models.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), tables)
+
+
 def compare_models(
     cells: DataFrame, names: list[str], target: str = "wealth_class", features: list[str] = settings.MODEL_FEATURES, **options
 ) -> DataFrame:
-    """Accuracy and macro F1 on the held-out cells, per model."""
-    tables = []
-    for name in names:
-        model = fit_classifier(name, cells.filter("train"), target, features, **options)
-        table = evaluate(model.predict(cells.filter("NOT train")), target)
-        tables.append(table.select(F.lit(name).alias("model"), "accuracy", "macro_f1"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    """Fit on the training cells, then compare."""
+    models = {name: fit_classifier(name, cells.filter("train"), target, features, **options) for name in names}
+    return compare_fitted(models, cells.filter("NOT train"), target)
 
 
 def temporal_validation(
-    cells: DataFrame, names: list[str], target: str = "wealth_class", features: list[str] = settings.MODEL_FEATURES, **options
+    cells: DataFrame, names: list[str], target: str = "wealth_class", features: list[str] = settings.MODEL_FEATURES,
+    net: bool = False, **options,
 ) -> DataFrame:
-    """Train on all earlier years, test on each later one."""
+    """Train on all earlier years, test on each later one; ``net`` adds the feed-forward net."""
     years = survey_years(cells)
     tables = []
     for test_year in years[1:]:
@@ -177,8 +213,12 @@ def temporal_validation(
         if not sizes[0] or sizes[1] < 2:
             continue
         used = " | ".join(str(y) for y in years if y < test_year)
-        for name in names:
-            model = fit_classifier(name, earlier, target, features, **options)
+        models = {name: fit_classifier(name, earlier, target, features, **options) for name in names}
+        if net:
+            # The net takes no weights, so its cells are unfolded into rows again.
+            rows = earlier.select(*features, target, F.explode(F.array_repeat(F.lit(0), F.col(COUNT).cast("int"))).alias("_i"))
+            models["mlp_classifier"] = fit_network(rows.drop("_i"), target, features)[0]
+        for name, model in models.items():
             tables.append(
                 evaluate(model.predict(later), target).select(
                     F.lit(used).alias("train_years"), F.lit(test_year).alias("test_year"), F.lit(name).alias("model"),

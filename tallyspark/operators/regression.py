@@ -1,29 +1,45 @@
-"""Least squares with HC1 errors, from k x k sums.
+"""Least squares with HC1 errors from grouped sums.
 
-Executors build design rows batch by batch and send only cross-product sums, which
-Spark adds up; the driver solves a k x k system. Two passes over the model frame, which
-is staged once.
+All categorical columns of a model make cells; one aggregate over the rows gives each cell's count, sums and
+cross products of the numeric columns, and everything after it works on cells. A design whose terms are all explicit needs
+no Python: a cell names its active terms, and sums over pairs of them are the normal equations. The driver solves a
+k x k system, and a second aggregate gives the squared-error sums of the robust errors.
+
+Factors with very many levels are absorbed instead of being spelled out: all columns are swept of the factors' level means
+in turn until nothing is left to sweep (alternating projections), which gives the same coefficients and errors as
+indicators would. The sweeps run on the cells of the absorbed factors and join one mean per level; no level ever
+reaches the driver, and the levels' own coefficients come back as rows of the result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import canon, number
+from tallyspark.functions.joins import skew_join
 from tallyspark.operators.profiles import normal_p_value
-from tallyspark.session import bounded_rows, spread, stage
+from tallyspark.session import bounded_rows, new_stage_path, stage
 
-MAX_LEVELS = 2_000
+EXPLICIT_TERMS = 400
+MAX_SWEEPS = 1_000
+SWEEP_TOLERANCE = 1e-9
+LONGEST_STEP = 1e4
 RANK_TOLERANCE = 1e-10
+SPANNED = 1e-9
 NORMAL_95 = 1.959963984540054
 SUM_SCHEMA = "i int, j int, v double"
+COEFFICIENT_SCHEMA = (
+    "term string, coefficient double, std_error double, p_value double, ci_lower double, ci_upper double, "
+    "model string, nobs bigint, r_squared double, adj_r_squared double"
+)
+SEPARATOR = "\u0001"
 
 
 @dataclass
@@ -36,19 +52,28 @@ class Term:
 
 
 @dataclass
-class Design:
-    terms: list[Term]
-    y: str
-    codes: dict[str, dict[str, int]]
+class Plan:
+    """What a model spells out and what it absorbs; each absorbed factor is one column or a pair of columns."""
 
-    def rows(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x = np.ones((len(pdf), len(self.terms)))
-        for place, term in enumerate(self.terms):
-            for column in term.numeric:
-                x[:, place] *= pdf[column].to_numpy(dtype=float)
-            for column, level in term.levels:
-                x[:, place] *= pdf[column].to_numpy() == self.codes[column][level]
-        return x, pdf[self.y].to_numpy(dtype=float)
+    y: str
+    parts: list[str]
+    cats: list[str]
+    nums: list[str]
+    absorbed: list[tuple[str, ...]] = field(default_factory=list)
+    levels: dict[str, list[str]] = field(default_factory=dict)
+
+    @property
+    def slots(self) -> list[str]:
+        """Columns whose sums the cells hold; slot 0 is the constant."""
+        return [*self.nums, self.y]
+
+    def terms(self) -> list[Term]:
+        made = build_terms(self.levels, self.parts)
+        if not self.absorbed:
+            return made
+        # The absorbed factors span the intercept and their own indicators.
+        spanned = [set(f) for f in self.absorbed]
+        return [t for t in made if t.numeric or (t.levels and not any({c for c, _ in t.levels} <= s for s in spanned))]
 
 
 def _level_key(level: str):
@@ -86,6 +111,10 @@ def build_terms(levels: dict[str, list[str]], parts: list[str]) -> list[Term]:
     return terms
 
 
+def _columns_of(part: str) -> tuple[str, ...]:
+    return tuple(p.strip()[2:-1] for p in part.split("*") if p.strip().startswith("C("))
+
+
 def _factors(parts: list[str]) -> tuple[list[str], list[str]]:
     pieces = [p.strip() for part in parts for p in part.split("*")]
     cats = list(dict.fromkeys(p[2:-1] for p in pieces if p.startswith("C(")))
@@ -106,34 +135,6 @@ def _gather(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _cross_products(design: Design):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(design.terms) + 1
-        acc = np.zeros((size, size))
-        for pdf in batches:
-            x, y = design.rows(pdf)
-            block = np.column_stack([x, y])
-            acc += block.T @ block
-        yield _upper(acc)
-
-    return run
-
-
-def _robust_sums(design: Design, beta: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(design.terms)
-        acc = np.zeros((size + 1, size + 1))
-        for pdf in batches:
-            x, y = design.rows(pdf)
-            error = y - x @ beta
-            weighted = x * error[:, None]
-            acc[:size, :size] += weighted.T @ weighted
-            acc[size, size] += float(error @ error)
-        yield _upper(acc)
-
-    return run
-
-
 def _minimum_norm(inverse: np.ndarray, scaled: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """The generalised inverse that gives the shortest coefficients in the design's own units.
 
@@ -149,68 +150,370 @@ def _minimum_norm(inverse: np.ndarray, scaled: np.ndarray, scale: np.ndarray) ->
     return keep @ inverse @ keep
 
 
-def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "") -> DataFrame:
+def _moments(rows: DataFrame, keys: list[str], values: list[str], weight: Column | None = None) -> DataFrame:
+    """Per cell the (weighted) sums ``m_i_j`` of products of values; value 0 is the constant."""
+    columns = [F.lit(1.0), *[F.col(v) for v in values]]
+    sums = [
+        F.sum(a * b if weight is None else weight * a * b).alias(f"m_{i}_{j}")
+        for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j
+    ]
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def _moment(i: int, j: int) -> str:
+    return f"m_{min(i, j)}_{max(i, j)}"
+
+
+# --- explicit designs, without Python -----------------------------------------------------
+
+
+def _by_levels(plan: Plan, values: dict[str, float | int], kind: str) -> list[Column]:
+    """One column per categorical part: what ``values`` gives the indicator that a row switches on, else null."""
+    found = []
+    groups: dict[tuple[str, ...], dict[str, str]] = {}
+    for term in plan.terms():
+        if term.levels:
+            columns = tuple(c for c, _ in term.levels)
+            groups.setdefault(columns, {})[SEPARATOR.join(level for _, level in term.levels)] = term.name
+    for columns, names in groups.items():
+        pairs = [F.lit(x) for key, name in names.items() for x in (key, values[name])]
+        key = F.concat_ws(SEPARATOR, *columns) if len(columns) > 1 else F.col(columns[0])
+        found.append(F.element_at(F.create_map(*pairs), key).cast(kind))
+    return found
+
+
+def _pair_sums(cells: DataFrame, plan: Plan, slots: list[str], with_y: bool) -> np.ndarray:
+    """Sums over all rows of the products of each two terms, from the cells' sums."""
+    terms = plan.terms()
+    places = {t.name: i for i, t in enumerate(terms)}
+    size = len(terms) + with_y
+    always = [(places["Intercept"], 0)] if "Intercept" in places else []
+    always += [(places[c], 1 + slots.index(c)) for c in plan.nums]
+    always += [(len(terms), 1 + slots.index(plan.y))] if with_y else []
+    active = F.array(
+        *[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s")) for t, s in always],
+        *[F.when(t.isNotNull(), F.struct(t.alias("t"), F.lit(0).alias("s"))) for t in _by_levels(plan, places, "int")],
+    )
+    width = len(slots) + 1
+    table = F.array(*[F.col(_moment(i, j)) for i in range(width) for j in range(width)])
+    listed = cells.select(F.filter(active, lambda a: a.isNotNull()).alias("active"), table.alias("table"))
+    first = listed.select("active", "table", F.explode("active").alias("a"))
+    pairs = first.select("table", "a", F.explode("active").alias("b")).filter("a.t <= b.t")
+    value = F.element_at("table", (F.col("a.s") * width + F.col("b.s") + 1).cast("int"))
+    return _gather(pairs.select(F.col("a.t").alias("i"), F.col("b.t").alias("j"), value.alias("v")), size)
+
+
+def _fitted(plan: Plan, beta: np.ndarray) -> Column:
+    """The part of a row's fit that its numbers and explicit indicators give."""
+    given = {t.name: float(b) for t, b in zip(plan.terms(), beta)}
+    total = F.lit(given.get("Intercept", 0.0))
+    for c in plan.nums:
+        total = total + F.col(c) * given[c]
+    for column in _by_levels(plan, given, "double"):
+        total = total + F.coalesce(column, F.lit(0.0))
+    return total
+
+
+# --- absorbed factors ---------------------------------------------------------------------
+
+
+@dataclass
+class Swept:
+    """Level means that the absorbed factors take out of each column."""
+
+    cells: DataFrame  # absorbed columns, n, and the part a_i of column i that all factors explain together
+    means: list[list[str]]  # for each factor, the tables of its sweeps: factor columns and d_i
+    shares: list[np.ndarray]  # how much of each sweep's means counts, by column
+    width: int
+
+
+def _design_sums(plan: Plan) -> list[Column]:
+    """Each explicit term's sum in a cell, then that of y."""
+    slots = plan.slots
+    sums = []
+    for term in plan.terms():
+        if term.numeric:
+            sums.append(F.col(_moment(0, 1 + slots.index(term.numeric[0]))))
+        else:
+            on = F.lit(True)
+            for column, level in term.levels:
+                on = on & (F.col(column) == level)
+            sums.append(F.when(on, F.col("m_0_0")).otherwise(0.0))
+    return [*sums, F.col(_moment(0, 1 + slots.index(plan.y)))]
+
+
+def _sweep(cells: DataFrame, plan: Plan, spread: np.ndarray) -> Swept:
+    """Alternating projections: take each factor's level means out of all columns until none is left.
+
+    Sums live on the cells of the absorbed factors, so a sweep costs one aggregate and one many-to-one join per factor and
+    its work does not grow with the rows. Every second sweep is extended along its own direction by the ratio at which
+    the sweeps shrink, column by column, so factors that go together do not need hundreds of them.
+    """
+    spark = cells.sparkSession
+    keys = list(dict.fromkeys(c for f in plan.absorbed for c in f))
+    design = _design_sums(plan)
+    every = range(len(design))
+    held = cells.select(*keys, F.col("m_0_0").alias("n"), *[s.alias(f"v_{i}") for i, s in enumerate(design)])
+    held = held.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(f"v_{i}").alias(f"v_{i}") for i in every])
+    held = stage(held.select("*", *[F.lit(0.0).alias(f"{x}_{i}") for x in "ab" for i in every]), "swept")
+    swept = Swept(held, [[] for _ in plan.absorbed], [], len(design))
+    fixed = [*keys, "n", *[f"v_{i}" for i in every]]
+    for turn in range(MAX_SWEEPS):
+        # a: taken out so far; b: what the last sweep took; o: a before this sweep.
+        held = held.select(*fixed, *[f"{x}_{i}" for x in "ab" for i in every], *[F.col(f"a_{i}").alias(f"o_{i}") for i in every])
+        for place, factor in enumerate(plan.absorbed):
+            found = held.groupBy(*factor).agg(
+                *[(F.sum(F.col(f"v_{i}") - F.col("n") * F.col(f"a_{i}")) / F.sum("n")).alias(f"d_{i}") for i in every]
+            )
+            path = new_stage_path(spark, "means")
+            found.write.parquet(path)
+            swept.means[place].append(path)
+            joined = held.join(spark.read.schema(found.schema).parquet(path), list(factor))
+            held = joined.select(
+                *fixed, *[(F.col(f"a_{i}") + F.col(f"d_{i}")).alias(f"a_{i}") for i in every], *[f"{x}_{i}" for x in "bo" for i in every]
+            )
+        moved = [F.col(f"a_{i}") - F.col(f"o_{i}") for i in every]
+        held = stage(held.select(*fixed, *[f"a_{i}" for i in every], *[m.alias(f"o_{i}") for i, m in enumerate(moved)],
+                                 *[(m - F.col(f"b_{i}")).alias(f"c_{i}") for i, m in enumerate(moved)]), "swept")
+        n = F.col("n")
+        sums = held.agg(
+            *[F.max(F.abs(f"o_{i}")) for i in every], *[F.sum(n * F.col(f"o_{i}") * F.col(f"c_{i}")) for i in every],
+            *[F.sum(n * F.col(f"c_{i}") * F.col(f"c_{i}")) for i in every],
+        ).first()
+        largest, along, across = (np.array([x or 0.0 for x in sums[k * len(design) : (k + 1) * len(design)]]) for k in range(3))
+        swept.shares.append(np.ones(len(design)))
+        if len(plan.absorbed) == 1 or (largest / spread).max() <= SWEEP_TOLERANCE:
+            swept.cells = held
+            return swept
+        further = np.zeros(len(design))
+        if turn % 3 == 2:
+            further = np.clip(-along / np.where(across > 0, across, 1.0), 0.0, LONGEST_STEP)
+            swept.shares[-1] += further
+        held = held.select(
+            *fixed, *[(F.col(f"a_{i}") + F.col(f"o_{i}") * float(further[i])).alias(f"a_{i}") for i in every],
+            *[F.col(f"o_{i}").alias(f"b_{i}") for i in every],
+        )
+    raise RuntimeError(f"sweeping {plan.absorbed} did not settle in {MAX_SWEEPS} sweeps")
+
+
+def _swept_products(plan: Plan, width: int, values: int):
+    """Sums of products of swept columns over cells: indicators less their means, plus the numbers' own sums."""
+    terms = plan.terms()
+    slots = plan.slots[:values]
+    carry = np.zeros((width, values))
+    for i, term in enumerate(terms):
+        if term.numeric:
+            carry[i, slots.index(term.numeric[0])] = 1.0
+    if width > len(terms):
+        carry[len(terms), slots.index(plan.y)] = 1.0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros((width, width))
+        for pdf in batches:
+            fixed = -pdf[[f"a_{i}" for i in range(width)]].to_numpy(dtype=float)
+            for i, term in enumerate(terms):
+                if not term.numeric:
+                    on = np.ones(len(pdf))
+                    for column, level in term.levels:
+                        on *= pdf[column].to_numpy() == level
+                    fixed[:, i] += on
+            n = pdf["m_0_0"].to_numpy(dtype=float)
+            sums = pdf[[_moment(0, 1 + i) for i in range(values)]].to_numpy(dtype=float) @ carry.T
+            mixed = fixed.T @ sums
+            acc += (fixed * n[:, None]).T @ fixed + mixed + mixed.T
+            inner = np.array([[pdf[_moment(1 + i, 1 + j)].sum() for j in range(values)] for i in range(values)])
+            acc += carry @ inner.reshape(values, values) @ carry.T
+        yield _upper(acc)
+
+    return run
+
+
+def _swept_gram(cells: DataFrame, swept: Swept, plan: Plan, width: int, values: int) -> np.ndarray:
+    keys = list(dict.fromkeys(c for f in plan.absorbed for c in f))
+    joined = cells.join(swept.cells.select(*keys, *[f"a_{i}" for i in range(width)]), keys)
+    needed = [c for c in plan.cats if c in joined.columns]
+    joined = joined.select(*needed, *[c for c in joined.columns if c.startswith(("m_", "a_"))])
+    return _gather(joined.mapInPandas(_swept_products(plan, width, values), SUM_SCHEMA), width)
+
+
+def _components(cells: DataFrame, left: tuple[str, ...], right: tuple[str, ...]) -> int:
+    """Connected parts of the graph that links two factors' levels wherever they share a cell."""
+    ends = [F.concat_ws(SEPARATOR, F.lit(str(side)), *factor) for side, factor in enumerate((left, right))]
+    links = stage(cells.select(ends[0].alias("a"), ends[1].alias("b")).distinct(), "links")
+    names = stage(links.groupBy("a").agg(F.min("b").alias("name")), "names")
+    while True:
+        # A level takes the least name among its neighbours' names, the two sides in turn, until no name changes.
+        other = links.join(names, "a").groupBy("b").agg(F.min("name").alias("name"))
+        least = links.join(other, "b").groupBy("a").agg(F.min("name").alias("least"))
+        moved = stage(names.join(least, "a").select("a", F.least("name", "least").alias("name"), (F.col("least") < F.col("name")).alias("moved")), "names")
+        names = moved.select("a", "name")
+        if moved.filter("moved").isEmpty():
+            return names.select("name").distinct().count()
+
+
+def _absorbed_rank(cells: DataFrame, plan: Plan) -> int:
+    """Independent columns among the absorbed indicators; from a third factor on, ties are counted with the first only."""
+    rank = 0
+    for place, factor in enumerate(plan.absorbed):
+        rank += cells.select(*factor).distinct().count()
+        rank -= _components(cells, plan.absorbed[0], factor) if place else 0
+    return rank
+
+
+def _absorbed_terms(swept: Swept, plan: Plan, beta: np.ndarray, spark) -> tuple[DataFrame, float]:
+    """Coefficients of the absorbed levels against each factor's lowest one, and the intercept."""
+    weights = [*(-beta), 1.0]
+    out, intercept = None, 0.0
+    for factor, folders in zip(plan.absorbed, swept.means):
+        parts = None
+        for folder, shares in zip(folders, swept.shares):
+            effect = F.lit(0.0)
+            for i, w in enumerate(weights):
+                effect = effect + F.col(f"d_{i}") * float(w * shares[i])
+            part = spark.read.parquet(folder).select(*factor, effect.alias("effect"))
+            parts = part if parts is None else parts.unionByName(part)
+        effects = stage(parts.groupBy(*factor).agg(F.sum("effect").alias("effect")), "effects")
+        order = [x for c in factor for x in (F.col(c).try_cast("double").asc_nulls_last(), F.col(c))]
+        base = effects.orderBy(*order).first()
+        intercept += base["effect"]
+        name = F.concat_ws(":", *[F.concat(F.lit(f"C({c})[T."), F.col(c), F.lit("]")) for c in factor])
+        same = F.lit(True)
+        for c in factor:
+            same = same & (F.col(c) == base[c])
+        table = effects.filter(~same).select(name.alias("term"), (F.col("effect") - base["effect"]).alias("coefficient"))
+        out = table if out is None else out.unionByName(table)
+    return out, intercept
+
+
+# --- the fit ------------------------------------------------------------------------------
+
+
+def _plan(cells: DataFrame, plan: Plan, absorb: list[str]) -> Plan:
+    """Absorbs what is asked for, and the largest factors until the rest can be spelled out."""
+    levels: dict[str, list[str]] = {c: [] for c in plan.cats}
+    counts = {}
+    if plan.cats:
+        seen = cells.unpivot([], plan.cats, "c", "v").distinct()
+        rows = seen.limit(EXPLICIT_TERMS + 1).collect()
+        if not rows:
+            raise ValueError("no complete rows to fit")
+        if len(rows) > EXPLICIT_TERMS:
+            counts = {r["c"]: r["count"] for r in seen.groupBy("c").count().collect()}
+        else:
+            for row in rows:
+                levels[row["c"]].append(row["v"])
+            counts = {c: len(v) for c, v in levels.items()}
+    plan.absorbed = [tuple(p.strip() for p in a.split("*")) for a in absorb]
+
+    def spelled() -> list[str]:
+        """Parts with something left to spell out."""
+        return [p for p in plan.parts if not _columns_of(p) or not any(set(_columns_of(p)) <= set(f) for f in plan.absorbed)]
+
+    def size(part: str) -> int:
+        levels = [counts[c] for c in _columns_of(part)]
+        return math.prod(levels) if levels else 1
+
+    while sum(size(p) for p in spelled()) > EXPLICIT_TERMS:
+        widest = max((p for p in spelled() if _columns_of(p)), key=size, default=None)
+        if widest is None:
+            raise ValueError(f"more than {EXPLICIT_TERMS} numeric columns in one model")
+        factor = _columns_of(widest)
+        plan.absorbed = [f for f in plan.absorbed if not set(f) < set(factor)] + [factor]
+    plan.parts = spelled()
+    explicit = list(dict.fromkeys(c for p in plan.parts for c in _columns_of(p)))
+    if explicit and not any(levels.values()):
+        for row in bounded_rows(cells.unpivot([], explicit, "c", "v").distinct(), EXPLICIT_TERMS, "factor levels"):
+            levels[row["c"]].append(row["v"])
+    plan.levels = {c: sorted(levels[c], key=_level_key) for c in explicit}
+    return plan
+
+
+def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "", absorb: list[str] = []) -> DataFrame:
     """Coefficient table of a least-squares fit with HC1 robust errors.
 
-    Rows with a null in any model column drop out. A rank-deficient design gets the
-    minimum-norm solution. Factors with very many levels belong in
-    ``within_group_slope`` instead; the level count is checked.
+    Rows with a null in any model column drop out. A rank-deficient design gets the minimum-norm solution.
+    ``absorb`` names factors (``a`` or ``a*b``) to be swept out instead of spelled out; beyond ``EXPLICIT_TERMS``
+    terms the largest factors are absorbed on their own. Absorbed levels have coefficients but no errors.
+    The frame is read twice and should be a stored table.
     """
+    swept_columns = [c.strip() for a in absorb for c in a.split("*")]
     cats, nums = _factors(parts)
+    cats = list(dict.fromkeys([*cats, *swept_columns]))
+    nums = [c for c in nums if c != y]
     frame = df.select(
-        number(y).alias(y),
-        *[canon(c).alias(c) for c in cats],
-        *[number(c).alias(c) for c in nums if c != y],
+        number(y).alias(y), *[canon(c).alias(c) for c in cats], *[number(c).alias(c) for c in nums],
     ).dropna()
-    frame = spread(stage(frame, "model"))
-    levels = {}
-    if cats:
-        seen = frame.unpivot([], cats, "c", "v").distinct()
-        for row in bounded_rows(seen, MAX_LEVELS, "factor levels"):
-            levels.setdefault(row["c"], []).append(row["v"])
-        levels = {c: sorted(v, key=_level_key) for c, v in levels.items()}
-        if not levels:
+    plan = Plan(y, parts, cats, nums)
+    cells = stage(_moments(frame, cats, plan.slots).filter("m_0_0 > 0"), "cells")
+    plan = _plan(cells, plan, absorb)
+    terms = plan.terms()
+    size, slots = len(terms), plan.slots
+    swept = None
+    if plan.absorbed:
+        found = cells.agg(F.sum("m_0_0"), F.sum(_moment(0, len(slots))), F.sum(_moment(len(slots), len(slots)))).first()
+        n, total, total_squared = found
+        squares = [F.col(_moment(1 + slots.index(t.numeric[0]), 1 + slots.index(t.numeric[0]))) if t.numeric else s for t, s in zip(terms, _design_sums(plan))]
+        found = cells.agg(*[F.sum(s).alias(f"q_{i}") for i, s in enumerate([*squares, F.col(_moment(len(slots), len(slots)))])]).first()
+        raw = np.array([found[i] or 0.0 for i in range(size + 1)])
+        swept = _sweep(cells, plan, np.sqrt(np.maximum(raw / n, 1e-300)))
+        gram = _swept_gram(cells, swept, plan, size + 1, len(slots))
+        # A column that the absorbed factors span is left with rounding noise only.
+        gone = np.flatnonzero(np.diag(gram)[:size] <= SPANNED * raw[:size])
+        gram[gone, :] = gram[:, gone] = 0.0
+    else:
+        gram = _pair_sums(cells, plan, slots, True)
+        n, total, total_squared = gram[0, 0], gram[0, size], gram[size, size]
+        if n == 0:
             raise ValueError("no complete rows to fit")
-    codes = {c: {level: place for place, level in enumerate(found)} for c, found in levels.items()}
-    design = Design(build_terms(levels, parts), y, codes)
-    # Levels travel to the Python workers as small numbers.
-    frame = frame.withColumns({c: _place(c, codes[c]) for c in cats})
-    size = len(design.terms)
-    gram = _gather(frame.mapInPandas(_cross_products(design), SUM_SCHEMA), size + 1)
-    xx, xy, yy = gram[:size, :size], gram[:size, size], gram[size, size]
-    n = xx[0, 0]
-    if n == 0:
-        raise ValueError("no complete rows to fit")
+    xx, xy = gram[:size, :size], gram[:size, size]
     # Unit-diagonal scaling keeps squared terms from swamping the rank decision.
     scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
     scaled = xx / np.outer(scale, scale)
-    inverse = np.linalg.pinv(scaled, rcond=RANK_TOLERANCE, hermitian=True) / np.outer(scale, scale)
-    inverse = _minimum_norm(inverse, scaled, scale)
-    rank = int(np.linalg.matrix_rank(scaled, tol=RANK_TOLERANCE * size, hermitian=True))
+    rank = int(np.linalg.matrix_rank(scaled, tol=RANK_TOLERANCE * size, hermitian=True)) if size else 0
+    inverse = np.linalg.pinv(scaled, rcond=RANK_TOLERANCE, hermitian=True) / np.outer(scale, scale) if size else np.zeros((0, 0))
+    inverse = _minimum_norm(inverse, scaled, scale) if size else inverse
     beta = inverse @ xy
-    second = _gather(frame.mapInPandas(_robust_sums(design, beta), SUM_SCHEMA), size + 1)
+    error = F.col(y) - _fitted(plan, beta)
+    rows = frame
+    if swept is not None:
+        rank += _absorbed_rank(cells, plan)
+        keys = list(dict.fromkeys(c for f in plan.absorbed for c in f))
+        part = F.col(f"a_{size}")
+        for i, b in enumerate(beta):
+            part = part - F.col(f"a_{i}") * float(b)
+        levels = swept.cells.select(*keys, part.alias("_level"), F.col("n").alias("_size"))
+        rows = skew_join(frame, levels, keys, "_size", "inner")
+        error = error - F.col("_level")
+    squared = _moments(rows.withColumn("_e", error), cats, nums, F.col("_e") * F.col("_e"))
+    if swept is not None:
+        squared = stage(squared, "errors")
+        ssr = squared.agg(F.sum("m_0_0")).first()[0]
+        second = _swept_gram(squared, swept, plan, size, len(nums))
+        second[gone, :] = second[:, gone] = 0.0
+    else:
+        second = _pair_sums(squared, plan, nums, False)
+        ssr = second[0, 0]
     free = n - rank
-    cov = inverse @ second[:size, :size] @ inverse * (n / free if free > 0 else math.nan)
-    ssr, total = second[size, size], yy - xy[0] ** 2 / n
-    r2 = 1 - ssr / total if total > 0 else math.nan
+    cov = inverse @ second @ inverse * (n / free if free > 0 else math.nan)
+    spread = total_squared - total**2 / n
+    r2 = 1 - ssr / spread if spread > 0 else math.nan
     adjusted = 1 - (n - 1) / free * (1 - r2) if free > 0 else math.nan
-    rows = []
-    for place, term in enumerate(design.terms):
+    out = []
+    for place, term in enumerate(terms):
         b, se = float(beta[place]), math.sqrt(max(float(cov[place, place]), 0.0))
         p = normal_p_value(b / se) if se > 0 else None
-        rows.append(
+        out.append(
             (term.name, b, se, p, b - NORMAL_95 * se, b + NORMAL_95 * se, model or y, int(n), float(r2), float(adjusted))
         )
-    return df.sparkSession.createDataFrame(
-        rows,
-        "term string, coefficient double, std_error double, p_value double, ci_lower double, ci_upper double, "
-        "model string, nobs bigint, r_squared double, adj_r_squared double",
-    )
-
-
-def _place(column: str, codes: dict[str, int]):
-    pairs = [F.lit(v) for pair in codes.items() for v in pair]
-    return F.element_at(F.create_map(*pairs), F.col(column)).cast("int")
+    spark = df.sparkSession
+    if swept is None:
+        return spark.createDataFrame(out, COEFFICIENT_SCHEMA)
+    effects, intercept = _absorbed_terms(swept, plan, beta, spark)
+    out.insert(0, ("Intercept", float(intercept), None, None, None, None, model or y, int(n), float(r2), float(adjusted)))
+    constants = {"model": F.lit(model or y), "nobs": F.lit(int(n)).cast("bigint"), "r_squared": F.lit(float(r2)), "adj_r_squared": F.lit(float(adjusted))}
+    empty = {c: F.lit(None).cast("double") for c in ("std_error", "p_value", "ci_lower", "ci_upper")}
+    made = spark.createDataFrame(out, COEFFICIENT_SCHEMA)
+    return made.unionByName(effects.withColumns({**empty, **constants}).select(*made.columns))
 
 
 def _given(df: DataFrame, parts: list[str]) -> list[str]:

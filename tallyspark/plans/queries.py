@@ -720,6 +720,36 @@ def household_ols(spark, folder):
     return regression.household_models(survey(spark, folder).enriched)
 
 
+_SWEPT = "term = 'Intercept' OR term LIKE 'C(GEO1_VN)%' OR term LIKE 'C(OWNERSHIP_H)%'"
+
+
+@query(
+    f"SELECT term, 'wealth_index' AS model, nobs, coefficient, CASE WHEN {_SWEPT} THEN NULL ELSE std_error END AS std_error, r_squared, adj_r_squared FROM hw_fit",
+    ["enriched"], ["term", "model", "nobs"], ["coefficient", "std_error", "r_squared", "adj_r_squared"],
+    extra=o.ols_ctes("hw", "enriched", "wealth_index", _HOUSEHOLD_PARTS),
+)
+def household_ols_absorbed(spark, folder):
+    fit = regression.ols_hc1(survey(spark, folder).enriched, "wealth_index", _HOUSEHOLD_PARTS, absorb=["GEO1_VN", "OWNERSHIP_H"])
+    return fit.select("term", "model", "nobs", "coefficient", "std_error", "r_squared", "adj_r_squared")
+
+
+# One level per household: far more than could be spelled out.
+@query(
+    "SELECT 'AGE' AS term, n AS nobs, levels - 1 AS n_levels, b AS coefficient, sqrt(v / (sxx * sxx) * n / (n - levels - 1)) AS std_error, 1 - ssr / sst AS r_squared FROM ("
+    "SELECT count(*) AS n, max(l) AS levels, max(b) AS b, max(sxx) AS sxx, max(sst) AS sst, sum(x * x * (y - b * x) ** 2) AS v, sum((y - b * x) ** 2) AS ssr FROM w, "
+    "(SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, var_pop(raw) * count(*) AS sst, count(DISTINCT (YEAR, SERIAL)) AS l FROM w))",
+    ["pw"], ["term", "nobs", "n_levels"], ["coefficient", "std_error", "r_squared"],
+    extra=[("w", "SELECT YEAR, SERIAL, e AS raw, e - avg(e) OVER (PARTITION BY YEAR, SERIAL) AS y, AGE - avg(AGE) OVER (PARTITION BY YEAR, SERIAL) AS x FROM "
+                 "(SELECT YEAR, SERIAL, AGE, TRY_CAST(EDATTAIN_H AS DOUBLE) AS e FROM pw) WHERE e IS NOT NULL AND AGE IS NOT NULL")],
+)
+def within_household_ols(spark, folder):
+    fit = regression.ols_hc1(survey(spark, folder).persons_with_wealth, "EDATTAIN_H", ["AGE"], absorb=["YEAR*SERIAL"])
+    levels = F.count_if(F.col("term").startswith("C(YEAR)")).alias("n_levels")
+    one = F.max(F.when(F.col("term") == "AGE", F.struct("nobs", "coefficient", "std_error", "r_squared"))).alias("r")
+    return fit.agg(one, levels).select(F.lit("AGE").alias("term"), "r.nobs", "n_levels", "r.coefficient", "r.std_error", "r.r_squared")
+
+
+
 @query(
     "SELECT 'person_education_gender_returns' AS model, * FROM pr_fit", ["pw"], ["term", "model", "nobs"], _FIT,
     extra=[_AGED, *o.ols_ctes("pr", "aged", "wealth_index", ["C(EDATTAIN_H)*C(SEX_H)", "C(YEAR)", "AGE", "AGE2", "C(URBAN_H)", "C(GEO1_VN)"])],
@@ -844,26 +874,20 @@ def features_prepared(spark, folder):
     return encoded.select(*FEATURES, TARGET, "train", "n", F.col("f")[0].alias("year_z"), F.array_join(slots, "").alias("one_hot"))
 
 
-def _predictions(spark, folder, name: str, **options) -> DataFrame:
-    cells = survey(spark, folder).cells
-    model = classifiers.fit_classifier(name, cells.filter("train"), TARGET, FEATURES, **options)
-    return model.predict(cells.filter("NOT train"))
-
-
-def _model_query(name: str, learner: str, **options) -> None:
+def _model_query(name: str, learner: str) -> None:
     def run(spark, folder):
-        result = classifiers.evaluate(_predictions(spark, folder, learner, **options), TARGET)
+        s = survey(spark, folder)
+        result = classifiers.evaluate(s.learner(learner).predict(s.cells.filter("NOT train")), TARGET)
         return result.select(F.lit(learner).alias("model"), "accuracy", "macro_f1", "n_obs")
 
     run.__name__ = name
     query()(run)
 
 
-# Tree counts and rounds are parameters; these runs use fewer than the library defaults.
 _model_query("clf_logreg", "logistic_regression")
-_model_query("clf_random_forest", "random_forest", trees=60, depth=8)
+_model_query("clf_random_forest", "random_forest")
 _model_query("clf_svm_rff", "svm_rbf")
-_model_query("clf_gbt", "boosted_trees", rounds=5)
+_model_query("clf_gbt", "boosted_trees")
 
 
 def _rows(spark, folder) -> DataFrame:
@@ -876,14 +900,14 @@ def _train():
 
 @query()
 def clf_mlp(spark, folder):
-    net, history = classifiers.fit_network(_rows(spark, folder).filter(_train()), TARGET, FEATURES)
+    net, history = survey(spark, folder).network
     result = classifiers.evaluate(net.predict(survey(spark, folder).cells.filter("NOT train")), TARGET)
     return result.select(F.lit("mlp_classifier").alias("model"), "accuracy", "macro_f1", "n_obs", F.lit(len(history)).alias("iterations"))
 
 
 @query()
 def mlp_history(spark, folder):
-    _, history = classifiers.fit_network(_rows(spark, folder).filter(_train()), TARGET, FEATURES)
+    _, history = survey(spark, folder).network
     return spark.createDataFrame(list(enumerate(history)), "iteration int, loss double")
 
 
@@ -959,12 +983,40 @@ def rank_models(spark, folder):
     return profiles.rank_models(_two_models(spark, folder))
 
 
+def _wave_gains(cls: str) -> str:
+    """Gain of every split of all training rows in the first round of boosting, for one class."""
+    sides = " UNION ALL ".join(
+        f"SELECT '{c}' AS f, coalesce({c}, m_{c}) AS s, wealth_class FROM split, (SELECT {_TRAIN_MODES}) WHERE train" for c in ["URBAN_H", "ELECTRIC_H", "WATSUP_H", "GEO1_VN"]
+    )
+    return (
+        "SELECT s, f, (gu * gu) / (hu + 1) + (g - gu) * (g - gu) / (h - hu + 1) - g * g / (h + 1) AS gain, -0.05 * gu / (hu + 1) AS w1, -0.05 * (g - gu) / (h - hu + 1) AS w2 FROM ("
+        f"SELECT f, s, count(*) / 3.0 - count_if(wealth_class = '{cls}') AS gu, 2.0 * count(*) * 2 / 9 AS hu, max(g) AS g, max(h) AS h FROM ({sides} UNION ALL "
+        "SELECT 'YEAR', CAST(y AS VARCHAR), wealth_class FROM split JOIN (SELECT DISTINCT YEAR AS y FROM split WHERE train) ON YEAR > y WHERE train) sides, "
+        f"(SELECT count(*) / 3.0 - count_if(wealth_class = '{cls}') AS g, 2.0 * count(*) * 2 / 9 AS h FROM split WHERE train) GROUP BY f, s)"
+    )
+
+
+_TRAIN_MODES = _MODE_OF.replace("IS NOT NULL GROUP", "IS NOT NULL AND train GROUP")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS wealth_class, max(gain) AS gain, arg_max(least(w1, w2), gain) AS low_leaf, arg_max(greatest(w1, w2), gain) AS high_leaf FROM ({_wave_gains(c)})"
+        for c in ["poor", "middle", "rich"]
+    ),
+    ["split"], ["wealth_class"], ["gain", "low_leaf", "high_leaf"],
+)
+def boosting_first_split(spark, folder):
+    """One round of depth 1 over all training rows: the best gain of each class, and its two leaves."""
+    return classifiers.first_splits(survey(spark, folder).cells.filter("train"), TARGET, FEATURES)
+
+
 @query()
 def model_comparison_all(spark, folder):
     s = survey(spark, folder)
-    compared = classifiers.compare_models(
-        s.cells, ["logistic_regression", "random_forest", "boosted_trees"], TARGET, FEATURES, trees=20, depth=6, rounds=3
-    )
+    test_cells = s.cells.filter("NOT train")
+    models = {name: s.learner(name) for name in classifiers.LEARNERS} | {"mlp_classifier": s.network[0]}
+    compared = classifiers.compare_fitted(models, test_cells, TARGET)
     cells, edges = _network(spark, folder)
     network = classifiers.evaluate(
         bayes.predict(cells.filter("train"), cells.filter("NOT train"), edges, TARGET, settings.NETWORK_FEATURES), TARGET
@@ -974,16 +1026,18 @@ def model_comparison_all(spark, folder):
 
 @query()
 def temporal_validation(spark, folder):
-    return classifiers.temporal_validation(
-        survey(spark, folder).cells, ["logistic_regression", "random_forest"], TARGET, FEATURES, trees=20, depth=6
-    )
+    return classifiers.temporal_validation(survey(spark, folder).cells, list(classifiers.LEARNERS), TARGET, FEATURES, net=True)
 
 
 @query()
 def permutation_importance(spark, folder):
-    cells = survey(spark, folder).cells
-    model = classifiers.fit_classifier("random_forest", cells.filter("train"), TARGET, FEATURES, trees=20, depth=6)
-    return classifiers.permutation_importance(model, _rows(spark, folder).filter(~_train()).select(*dict.fromkeys([*KEYS, *FEATURES, TARGET])), KEYS, TARGET, FEATURES)
+    s = survey(spark, folder)
+    rows = _rows(spark, folder).filter(~_train()).select(*dict.fromkeys([*KEYS, *FEATURES, TARGET]))
+    models = {"random_forest": s.learner("random_forest"), "mlp_classifier": s.network[0]}
+    tables = [
+        classifiers.permutation_importance(model, rows, KEYS, TARGET, FEATURES).select(F.lit(name).alias("model"), "*") for name, model in models.items()
+    ]
+    return tables[0].unionByName(tables[1])
 
 
 @query()

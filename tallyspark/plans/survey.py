@@ -23,6 +23,7 @@ class Survey:
 
     def __init__(self, raw: DataFrame, rules: RuleSet):
         self.raw, self.rules, self.spark = raw, rules, raw.sparkSession
+        self._learners: dict[str, classifiers.Classifier] = {}
 
     @cached_property
     def harmonized(self) -> DataFrame:
@@ -55,6 +56,18 @@ class Survey:
     def cells(self) -> DataFrame:
         return model_cells(self.enriched)
 
+    def learner(self, name: str) -> classifiers.Classifier:
+        """A learner of full size on the training cells; every report uses the same fit."""
+        if name not in self._learners:
+            self._learners[name] = classifiers.fit_classifier(name, self.cells.filter("train"), "wealth_class", settings.MODEL_FEATURES)
+        return self._learners[name]
+
+    @cached_property
+    def network(self) -> tuple[classifiers.Classifier, list[float]]:
+        """The feed-forward net on the training rows, with its loss history."""
+        rows = self.enriched.dropna(subset=["wealth_class"])
+        return classifiers.fit_network(rows.filter(in_train(["wealth_class", *settings.HOUSEHOLD_KEYS])), "wealth_class", settings.MODEL_FEATURES)
+
     def reports(self) -> dict[str, DataFrame]:
         """Descriptive, inequality, regional, gender, education and regression tables."""
         hh, persons = self.enriched, self.persons_with_wealth
@@ -109,23 +122,20 @@ class Survey:
         prepared = bayes.prepare(keyed, keep=[f"_k_{k}" for k in keys])
         return bayes.network_cells(prepared, settings.NETWORK_FEATURES, "wealth_class", [f"_k_{k}" for k in keys])
 
-    def model_reports(self, learners: list[str], **options) -> dict[str, DataFrame]:
-        """Classifier, network and cluster tables; learners and their sizes are options."""
+    def model_reports(self, learners: list[str]) -> dict[str, DataFrame]:
+        """Classifier, network and cluster tables."""
         target, features = "wealth_class", settings.MODEL_FEATURES
-        rows = self.enriched.dropna(subset=[target])
-        train = in_train([target, *settings.HOUSEHOLD_KEYS])
-        net, history = classifiers.fit_network(rows.filter(train), target, features)
+        net, history = self.network
         test_cells = self.cells.filter("NOT train")
-        forest = classifiers.fit_classifier("random_forest", self.cells.filter("train"), target, features, **options)
         labelled, metrics = unsupervised.kmeans_clusters(self.cells, features)
-        comparison = classifiers.compare_models(self.cells, learners, target, features, **options)
+        models = {name: self.learner(name) for name in learners}
         return {
-            "traditional_model_comparison": comparison,
-            "temporal_model_validation": classifiers.temporal_validation(self.cells, learners, target, features, **options),
+            "traditional_model_comparison": classifiers.compare_fitted(models, test_cells, target),
+            "temporal_model_validation": classifiers.temporal_validation(self.cells, learners, target, features),
             "deep_learning_model_comparison": classifiers.evaluate(net.predict(test_cells), target),
             "mlp_training_history": self.spark.createDataFrame(list(enumerate(history)), "iteration int, loss double"),
             "subgroup_model_performance": classifiers.subgroups(
-                forest.predict(test_cells), target, ["URBAN_H", "YEAR", "GEO1_VN"]
+                self.learner("random_forest").predict(test_cells), target, ["URBAN_H", "YEAR", "GEO1_VN"]
             ),
             "kmeans_cluster_summary": unsupervised.cluster_summary(labelled),
             "kmeans_cluster_metrics": metrics,

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import bayes, classifiers, features, metrics, sampling, unsupervised
+from tallyspark.operators import bayes, classifiers, features, metrics, sampling, trees, unsupervised
 
 
 @pytest.fixture(scope="module")
@@ -172,3 +172,65 @@ def test_representation_loss_falls_with_size(people, cells):
     rows = unsupervised.representation_benchmark(cells, scored, "wealth_class", FEATURES, sizes=(2, 3), starts=1).collect()
     assert rows[0]["reconstruction_mse"] > rows[1]["reconstruction_mse"]
     assert rows[0]["explained_variance_ratio"] < rows[1]["explained_variance_ratio"] <= 1 + 1e-9
+
+
+def small_table(seed=2):
+    rng = np.random.default_rng(seed)
+    x = np.unique(np.column_stack([rng.integers(0, 2, 60), rng.integers(0, 2, 60), rng.integers(0, 5, 60)]).astype(float), axis=0)
+    return trees.make_table(x, rng.integers(0, 30, (len(x), 3)).astype(float) + 20 * (x[:, [0, 1, 2]] > 0))
+
+
+def test_histogram_finds_the_best_split():
+    table = small_table()
+    rng = np.random.default_rng(3)
+    node = rng.integers(0, 3, len(table.x))
+    g, h = rng.normal(size=len(node)) * 9, rng.uniform(1, 5, len(node))
+    best, gain = trees.best_splits(table, np.arange(len(table.columns)), node, 3, g, h)
+    for k in range(3):
+        own, found = node == k, {}
+        score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + trees.PENALTY)
+        for s, (column, cut) in enumerate(zip(table.columns, table.cuts)):
+            up = own & (table.x[:, column] > cut)
+            if min(h[up].sum(), h[own & ~up].sum()) >= trees.LEAST_WEIGHT:
+                found[s] = score(up) + score(own & ~up) - score(own)
+        assert gain[k] == pytest.approx(max(found.values())) and found[best[k]] == pytest.approx(gain[k])
+
+
+def test_boosting_follows_its_own_steps():
+    """Margins from the returned trees give a falling loss, and equal cells split into two give the same trees."""
+    table = small_table()
+
+    def grown(t, rounds=12):
+        return list(trees.boost(t, rounds, 3, 0.3, 1.0, 1.0, 1))
+
+    def totals(made, x):
+        wide = [(k, *zip(*[(f, c, lo, up, [w if j == k else 0.0 for j in range(3)]) for _, f, c, lo, up, w in sorted(nodes)])) for _, k, nodes in made]
+        rows = [(i, *map(np.array, parts[1:-1]), np.concatenate(parts[-1])) for i, parts in enumerate(wide)]
+        return trees.pack(rows, 3).totals(x)
+
+    def loss(margin):
+        share = np.exp(margin) / np.exp(margin).sum(axis=1, keepdims=True)
+        return -(table.counts * np.log(share)).sum()
+
+    losses = [loss(totals(grown(table, r), table.x)) for r in (1, 4, 12)]
+    assert losses[0] > losses[1] > losses[2]
+    half = trees.make_table(np.vstack([table.x, table.x]), np.vstack([table.counts, table.counts]) / 2)
+    assert [n[:2] for _, _, nodes in grown(half) for n in nodes] == [n[:2] for _, _, nodes in grown(table) for n in nodes]
+
+
+def test_forest_is_repeatable_and_its_trees_differ(spark):
+    table = small_table()
+    one, two = (trees.fit_forest(spark, table, 20, 30, 7) for _ in range(2))
+    assert (one.feature == two.feature).all() and (one.value == two.value).all() and len(one.roots) == 20
+    pure = trees.make_table(np.array([[0.0], [1.0], [2.0]]), np.array([[50.0, 0], [0, 50], [50, 0]]))
+    forest = trees.fit_forest(spark, pure, 9, 30, 7)
+    assert forest.totals(pure.x).argmax(axis=1).tolist() == [0, 1, 0]
+    roots = {(one.feature[r], one.cut[r]) for r in one.roots}
+    assert len(roots) > 1
+
+
+def test_more_cells_than_fit_take_the_distributed_learner(cells, monkeypatch):
+    monkeypatch.setattr(trees, "MAX_CELLS", 3)
+    model = classifiers.fit_classifier("random_forest", cells.filter("train"), "wealth_class", FEATURES, trees=5, depth=4)
+    assert not isinstance(model.learner, trees.TreeLearner)
+    assert classifiers.evaluate(model.predict(cells.filter("NOT train")), "wealth_class").first()["accuracy"] > 0.8

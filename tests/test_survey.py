@@ -33,6 +33,6 @@ def test_all_reports_have_rows(spark):
 
 
 def test_model_reports(spark):
-    reports = survey(spark, FOLDER).model_reports(["logistic_regression"], trees=5, depth=4)
+    reports = survey(spark, FOLDER).model_reports(["logistic_regression"])
     for name, report in reports.items():
         assert report.count() > 0, name
