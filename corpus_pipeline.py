@@ -19,29 +19,39 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one with the least id; rows without an id stay."""
-    members, _ = ngram_join.near_duplicates(docs)
+    """Keeps one document of each group, the one with the least id; rows without an id, and null or empty texts, stay.
+
+    Of rows that share an id the first by text, source and lang stays; extra columns may have any names.
+    """
+    members, _ = ngram_join.near_duplicates(docs.select("doc_id", "text"))
     dropped = stage(members.filter("doc_id != class_id").select("doc_id"), "dropped")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = stage(docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"), "repeated")
+    counts = docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    repeated = stage(counts.filter("rows > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    one = kept.join(repeated, "doc_id", "left_semi").withColumn("place", F.row_number().over(first)).filter("place = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    first = Window.partitionBy("row.doc_id").orderBy("row.text", "row.source", "row.lang")
+    packed = kept.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    one = packed.withColumn("place", F.row_number().over(first)).filter("place = 1").select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item; rows without an id are known by their text."""
+    """Drops documents that hold a benchmark item; rows without an id are known by their text.
+
+    Null and empty texts hold no item and stay; equal rows share their verdict; extra columns may have any names.
+    """
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     keyed = docs.select(F.struct("doc_id", key.alias("text_key")).alias("leak"), "text")
     leaks = decontamination.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="leak")
     leaked = stage(leaks.select(F.col("leak.doc_id").alias("own_id"), F.col("leak.text_key").alias("own_key")).distinct(), "leaked")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["own_id"]) & key.eqNullSafe(leaked["own_key"]), "left_anti").select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_of_row"), key.alias("key_of_row"))
+    same = F.col("id_of_row").eqNullSafe(F.col("own_id")) & F.col("key_of_row").eqNullSafe(F.col("own_key"))
+    return packed.join(leaked, same, "left_anti").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; n_chars follows."""
+    """Replaces secrets in the texts; n_chars follows. Null texts stay null; extra columns may have any names."""
     found = secret_scan.scan(docs, keep=tuple(docs.columns))
     masked = secret_scan.mask(F.col("row.text"), F.col("spans"))
     changed = F.size("spans") > 0
@@ -50,15 +60,23 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture, with how many of their words it takes."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    mixed = mixing.mix(keyed, keep=("doc_id", "text_key")).groupBy("row.doc_id", "row.text_key").agg(
-        *[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")]
+    """The documents of the mixture, with how many of their words it takes.
+
+    Null and empty texts have no words and are not taken; equal rows share what is taken of the first of them that is
+    drawn most. Extra columns may have any names, but those called as the four added ones give way to them.
+    """
+    rows = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("text_key"))
+    found = mixing.mix(rows, keep=("doc_id", "text_key")).groupBy("row.doc_id", "row.text_key").agg(
+        *[F.max(c).alias(c) for c in ADDED]
     )
-    mixed = mixed.filter("taken > 0").withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
-    joined = keyed.join(mixed, keyed["doc_id"].eqNullSafe(mixed["own_id"]) & (keyed["text_key"] == mixed["own_key"]))
-    return joined.select(*docs.columns, "size", "source_size", "target", "taken")
+    taken = found.filter("taken > 0").select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), F.struct(*ADDED).alias("mixed"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id_of_row"), F.xxhash64("text").alias("key_of_row"))
+    same = F.col("id_of_row").eqNullSafe(F.col("own_id")) & (F.col("key_of_row") == F.col("own_key"))
+    kept = [F.col(f"row.{c}") for c in docs.columns if c not in ADDED]
+    return packed.join(taken, same).select(*kept, *[F.col(f"mixed.{c}") for c in ADDED])
+
 
+ADDED = ("size", "source_size", "target", "taken")
 
 STAGES = [
     ("language_id", identify_language),

@@ -92,27 +92,41 @@ def _normal_tail(z: Column) -> Column:
 
 def randomness(token: Column) -> Column:
     """Struct of the battery's results for a token: encoding, n, p_random, p_word."""
-    body = F.regexp_replace(token, "=+$", "")
-    lowered = F.when(body.rlike("^[0-9A-F]+$"), F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
-    encoding = (
-        F.when(lowered.rlike("^[0-9a-f]+$"), "hex")
-        .when(lowered.rlike("^[A-Z2-7]+$"), "base32")
-        .when(lowered.rlike("^[A-Za-z0-9]+$"), "base62")
-        .otherwise("base64")
-    )
-    alphabet = (
-        F.when(encoding == "hex", BASE16).when(encoding == "base32", BASE32).when(encoding == "base62", BASE62).otherwise(BASE64)
-    )
-    classes = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[^A-Za-z0-9]", ""), "[a-z]", "x"), "[A-Z]", "y"), "[0-9]", "z"
-    )
-    m = F.length(classes)
-    changes = m - F.length(F.regexp_replace(classes, r"(.)(?=\1)", ""))  # repeats of a class
-    given = F.struct(
-        encoding.alias("encoding"), F.length(body).alias("n"), F.length(alphabet).cast("double").alias("k"),
-        F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.instr(alphabet, F.substr(lowered, i, F.lit(1))) - 1).alias("x"),
-        (m - 1).cast("double").alias("places"), (m - 1 - changes).cast("double").alias("changes"),
-    )
+    def bound(value: Column, use) -> Column:
+        """``use`` of a value that is evaluated once, however often and in whatever loop it is used."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def lowered(body: Column) -> Column:
+        return F.struct(
+            body.alias("body"),
+            F.when(body.rlike("^[0-9A-F]+$"), F.lower(body)).otherwise(F.translate(body, "-_", "+/")).alias("lowered"),
+            F.regexp_replace(
+                F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[^A-Za-z0-9]", ""), "[a-z]", "x"), "[A-Z]", "y"), "[0-9]", "z"
+            ).alias("classes"),
+        )
+
+    def encoded(t: Column) -> Column:
+        encoding = (
+            F.when(t["lowered"].rlike("^[0-9a-f]+$"), "hex")
+            .when(t["lowered"].rlike("^[A-Z2-7]+$"), "base32")
+            .when(t["lowered"].rlike("^[A-Za-z0-9]+$"), "base62")
+            .otherwise("base64")
+        )
+        m = F.length(t["classes"])
+        changes = m - F.length(F.regexp_replace(t["classes"], r"(.)(?=\1)", ""))  # repeats of a class
+        return F.struct(
+            encoding.alias("encoding"), t["body"].alias("body"), t["lowered"].alias("lowered"), m.alias("m"), changes.alias("changes")
+        )
+
+    def symbols(t: Column) -> Column:
+        alphabet = (
+            F.when(t["encoding"] == "hex", BASE16).when(t["encoding"] == "base32", BASE32).when(t["encoding"] == "base62", BASE62).otherwise(BASE64)
+        )
+        return F.struct(
+            t["encoding"].alias("encoding"), F.length(t["body"]).alias("n"), F.length(alphabet).cast("double").alias("k"),
+            F.transform(F.split(t["lowered"], ""), lambda c: F.instr(alphabet, c) - 1).alias("x"),
+            (t["m"] - 1).cast("double").alias("places"), (t["m"] - 1 - t["changes"]).cast("double").alias("changes"),
+        )
 
     def tests(g: Column) -> Column:
         x, k, n = g["x"], g["k"], g["n"].cast("double")
@@ -138,7 +152,8 @@ def randomness(token: Column) -> Column:
         p_word = F.when(share <= q, 1.0).otherwise(F.least(bound, F.lit(1.0)))
         return F.struct(g["encoding"].alias("encoding"), g["n"].alias("n"), p_random.alias("p_random"), p_word.alias("p_word"))
 
-    return F.get(F.transform(F.array(given), tests), F.lit(0))
+    given = bound(bound(bound(F.regexp_replace(token, "=+$", ""), lowered), encoded), symbols)
+    return bound(given, tests)
 
 
 def _bin(p: Column) -> Column:

@@ -71,3 +71,27 @@ def test_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    names = ["size", "taken", "own_id", "own_key", "place", "text_key", "row", "rows", "mixed", "id_of_row", "label"]
+    wide = docs.withColumns({name: F.lit(name) for name in names})
+    wide = wide.union(wide.limit(2).withColumn("text", F.lit("one more row of an id that is there already")))
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, wide, SMALL)
+        rows = made.collect()
+        assert rows and all(r[c] == c for r in rows for c in names if not (name == "mixing" and c in corpus_pipeline.ADDED))
+        assert name == "mixing" or made.columns == wide.columns
+
+
+def test_a_very_long_token(spark):
+    import random
+
+    from tallyspark.llm import secret_scan
+
+    rng = random.Random(3)
+    token = "".join(rng.choice(secret_scan.BASE62) for _ in range(300_000))
+    docs = spark.createDataFrame([(1, f"before {token} after")], "doc_id long, text string")
+    found = secret_scan.scan(docs).first().spans
+    assert [(s.kind, s.start, s.end) for s in found if s.kind == "random"] == [("random", 7, 300_007)]
