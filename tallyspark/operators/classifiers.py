@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -30,6 +31,8 @@ from tallyspark.operators.profiles import survey_years
 from tallyspark.session import stage
 
 ROWS_PER_TASK = 20_000
+SIDE_BY_SIDE = 4
+NET = "mlp_classifier"
 DEPTH = 30  # the deepest forest that Spark's own learner grows
 
 
@@ -206,25 +209,28 @@ def temporal_validation(
 ) -> DataFrame:
     """Train on all earlier years, test on each later one; ``net`` adds the feed-forward net."""
     years = survey_years(cells)
-    tables = []
-    for test_year in years[1:]:
+
+    def fold(test_year: int, name: str) -> DataFrame | None:
         earlier, later = cells.filter(F.col("YEAR") < test_year), cells.filter(F.col("YEAR") == test_year)
         sizes = earlier.agg(F.sum(COUNT), F.count_distinct(target)).first()
         if not sizes[0] or sizes[1] < 2:
-            continue
-        used = " | ".join(str(y) for y in years if y < test_year)
-        models = {name: fit_classifier(name, earlier, target, features, **options) for name in names}
-        if net:
+            return None
+        if name == NET:
             # The net takes no weights, so its cells are unfolded into rows again.
             rows = earlier.select(*features, target, F.explode(F.array_repeat(F.lit(0), F.col(COUNT).cast("int"))).alias("_i"))
-            models["mlp_classifier"] = fit_network(rows.drop("_i"), target, features)[0]
-        for name, model in models.items():
-            tables.append(
-                evaluate(model.predict(later), target).select(
-                    F.lit(used).alias("train_years"), F.lit(test_year).alias("test_year"), F.lit(name).alias("model"),
-                    "accuracy", "macro_f1", F.lit(int(sizes[0])).cast("bigint").alias("n_train"), F.col("n_obs").alias("n_test"),
-                )
-            )
+            model = fit_network(rows.drop("_i"), target, features)[0]
+        else:
+            model = fit_classifier(name, earlier, target, features, **options)
+        return evaluate(model.predict(later), target).select(
+            F.lit(" | ".join(str(y) for y in years if y < test_year)).alias("train_years"), F.lit(test_year).alias("test_year"),
+            F.lit(name).alias("model"), "accuracy", "macro_f1", F.lit(int(sizes[0])).cast("bigint").alias("n_train"),
+            F.col("n_obs").alias("n_test"),
+        )
+
+    # Folds and learners do not depend on each other; small fits leave cores free for one another.
+    jobs = [(year, name) for year in years[1:] for name in [*names, *([NET] if net else [])]]
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        tables = [t for t in pool.map(lambda job: fold(*job), jobs) if t is not None]
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
