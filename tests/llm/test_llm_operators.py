@@ -160,6 +160,84 @@ def test_passages(spark, corpus):
     assert passages.repeated_passages(docs_of(spark, rows).limit(0)).collect() == []
 
 
+def test_passages_in_crowded_signatures(spark):
+    rng = random.Random(11)
+    shared, rows = sentence(rng, 70), []
+    rows.append((0, " ".join([sentence(rng, 20), shared, sentence(rng, 400), shared, sentence(rng, 20)]), None, None))
+    for i in range(1, 301):
+        words = shared.split()
+        for k in rng.sample(range(70), 9):
+            words[k] = "x" + sentence(rng, 1)
+        rows.append((i, " ".join([sentence(rng, 20), *words, sentence(rng, 20)]), None, None))
+    rows.append((301, sentence(rng, 33) + " " + shared + " " + sentence(rng, 20), None, None))
+    rows += [(302, rows[0][1], None, None), (303, None, None, None)]
+    found = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs_of(spark, rows)).collect():
+        if r.doc_id in (0, 301, 302):
+            assert r.class_id == 0
+        found[r.doc_id] |= set(range(r.start_word, r.end_word))
+    assert set(range(33, 103)) <= found[301] and len(found[301]) <= 80
+    assert found[0] == found[302] == set(range(580)) and 303 not in found
+
+
+def test_passages_against_brute_force(spark):
+    """Documents share passages with up to one word changed, left out or put in; all windows of all pairs are the measure."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(40):
+        shared = sentence(rng, 64).split()
+        for _ in range(3):
+            words, at = list(shared), rng.randrange(64)
+            words[at : at + rng.randint(0, 1)] = [sentence(rng, 1)] * rng.randint(0, 1)
+            rows.append((len(rows), " ".join([sentence(rng, rng.randint(0, 40)), *words, sentence(rng, rng.randint(0, 40))]), None, None))
+    grams = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in (r[1].split() for r in rows)]
+    near = {}
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if len(set(grams[a]) & set(grams[b])) < 41:
+                continue
+            windows = [[set(g[i : i + 46]) for i in range(len(g) - 45)] for g in (grams[a], grams[b])]
+            words = [set(), set()]
+            for i, x in enumerate(windows[0]):
+                for j, y in enumerate(windows[1]):
+                    if len(x & y) >= 0.8 * len(x | y):
+                        words[0] |= set(range(i, i + 50))
+                        words[1] |= set(range(j, j + 50))
+            if words[0]:
+                near[a, b] = words
+    found, classes = collections.defaultdict(set), {}
+    for r in passages.repeated_passages(docs_of(spark, rows)).collect():
+        found[r.doc_id] |= set(range(r.start_word, r.end_word))
+        classes[r.doc_id] = r.class_id
+    joined = sum(classes.get(a, -1) == classes.get(b, -2) for a, b in near)
+    want = collections.defaultdict(set)
+    for (a, b), (x, y) in near.items():
+        want[a] |= x
+        want[b] |= y
+    covered = sum(len(found[d] & w) for d, w in want.items()) / sum(map(len, want.values()))
+    extra = sum(len(found[d] - want[d]) for d in found) / sum(map(len, found.values()))
+    print(f"pairs {joined} of {len(near)}, words covered {covered:.3f}, beyond {extra:.3f}")
+    assert joined >= 0.95 * len(near) and covered >= 0.95 and extra < 0.01
+
+
+def test_representatives_stay_between_batches(spark):
+    """A signature that goes on over many batches gives the same links."""
+    rng = np.random.default_rng(4)
+    kinds = rng.integers(1, 2**32, (6, 91), dtype=np.uint32)
+    rows = [(1, i, 50, kinds[rng.integers(0, 6)].tobytes()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "signature long, id long, at int, around binary")
+    limit, size = passages.HELD_ROWS, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    passages.HELD_ROWS = 30
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+        links = passages._linked(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        passages.HELD_ROWS = limit
+    kind = {i: k for _, i, _, k in rows}
+    assert all(kind[r.a] == kind[r.b] for r in links) and len({r.b for r in links}) == 300 - len(set(kind.values()))
+
+
 def test_secrets(spark):
     rng = random.Random(3)
     token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(64))
