@@ -160,6 +160,28 @@ def test_passages(spark, corpus):
     assert passages.repeated_passages(docs_of(spark, rows).limit(0)).collect() == []
 
 
+def test_html_regions():
+    """The ratio decides: pages without an article, with several, and with text beside one."""
+    para, short = "<p>" + "long words of a paragraph here " * 8 + "</p>", "Short one."
+    text = ("long words of a paragraph here " * 8).strip()
+    menu = "<ul>" + "".join(f"<li><a href='#'>Item {k}</a></li>" for k in range(12)) + "</ul>"
+
+    def blocks(body):
+        return html_text.extract(f"<html><body>{body}</body></html>").split("\n\n")
+
+    assert blocks(f"{menu}<div><h1>Head</h1>{para}<p>{short}</p>{para}</div><p>Copyright 2020</p>") == ["Head", text, short, text]
+    assert blocks(f"{menu}<h1>Head</h1>{para}{para}<p>Copyright 2020</p>") == ["Head", text, text]
+    assert blocks(f"<article><h1>A</h1>{para}</article><article><h1>B</h1>{para}{para}</article>") == ["A", text, "B", text, text]
+    assert blocks(f"{menu}<div class=lead>{para}</div><article><h1>B</h1>{para}{para}</article>") == [text, "B", text, text]
+    assert blocks(f"<article>{para}<section id='share-of-voters'>{para}</section><div class=share><a>x</a> <a>y</a></div></article>") == [text, text]
+    assert blocks(f"<div class='ad'>{text}</div><article><h1>B</h1><p>{short}</p></article>") == ["B", short]
+    assert blocks(f"<div class='layout with-sidebar'>{menu}<article>{para}{para}</article></div>") == [text, text]
+    assert blocks(f"{para}{menu}{para}") == [text, text]
+    assert blocks(f"<ul><li>{'word ' * 30}</li><li>few</li><li>{'word ' * 30}</li></ul>")[1] == "few"
+    lines = [f"<p>{'word ' * n}</p>" for n in (40, 1, 1, 1, 1, 1, 1, 1, 1)]
+    assert blocks("".join(lines)) == [("word " * 40).strip()] and blocks("".join(lines[::-1])) == [("word " * 40).strip()]
+
+
 def test_passages_in_crowded_signatures(spark):
     rng = random.Random(11)
     shared, rows = sentence(rng, 70), []
@@ -223,7 +245,7 @@ def test_passages_against_brute_force(spark):
 def test_representatives_stay_between_batches(spark):
     """A signature that goes on over many batches gives the same links."""
     rng = np.random.default_rng(4)
-    kinds = rng.integers(1, 2**32, (6, 91), dtype=np.uint32)
+    kinds = rng.integers(1, 2**16, (6, 91), dtype=np.uint16)
     rows = [(1, i, 50, kinds[rng.integers(0, 6)].tobytes()) for i in range(300)]
     frame = spark.createDataFrame(rows, "signature long, id long, at int, around binary")
     limit, size = passages.HELD_ROWS, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
