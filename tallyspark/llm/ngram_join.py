@@ -36,6 +36,7 @@ RECALL = 0.997
 NEIGHBOURS = 8  # a bucket with more than one document besides these is large
 CROWD_DOCS = 512  # of a block
 CROWD_BYTES = 4 << 20
+TILE = 4  # blocks of a crowd that travel together: a task holds the block pairs of two tiles
 DENSE_GRAMS = 16  # n-grams of more texts than that are counted by a matrix product
 DENSE_COLUMNS = 4_096
 _SEED = np.random.Generator(np.random.PCG64(8_051)).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,16 +198,26 @@ def _nearest_roots(linked: np.ndarray) -> np.ndarray:
 
 
 def _block_pairs(rows: DataFrame, crowds: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Texts of crowds (i, j, block, id, copies, text), each once for every pair of blocks (i, j) that its block is in."""
+    """Texts of crowds (i, j, block, id, copies, text), each once for every pair of blocks (i, j) that its block is in.
+
+    Rows are spread by pairs of tiles, so that no crowd is the work of one task.
+    """
     texts = rows.join(crowds.select(F.col("node").alias("id"), F.col("root").alias("crowd")), "id")
     texts = texts.join(sizes.select(F.col("leader").alias("id"), "copies"), "id")
     many = texts.groupBy("crowd").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / CROWD_DOCS), F.ceil(F.sum(F.octet_length("text")) / CROWD_BYTES), F.lit(1)).alias("blocks")
     )
     texts = texts.join(many, "crowd").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Each text travels once for every tile, and is copied for the blocks of that tile only after the exchange.
+    texts = texts.withColumn("other_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / TILE))))
+    tile = F.floor(F.col("block") / TILE)
+    texts = texts.withColumns({"tile_i": F.least(tile, "other_tile"), "tile_j": F.greatest(tile, "other_tile")})
+    texts = texts.repartition("crowd", "tile_i", "tile_j")
+    first = F.col("other_tile") * TILE
+    texts = texts.withColumn("other", F.explode(F.sequence(first, F.least(first + TILE, "blocks") - 1)))
     return texts.select(
-        "crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "text"
+        "crowd", "tile_i", "tile_j", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id",
+        "copies", "text",
     )
 
 
@@ -272,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         verified(pairs, rows).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "similar"
     )
     kind = rows.schema["id"].dataType.simpleString()
-    blocks = _block_pairs(rows, crowds, sizes).groupBy("crowd", "i", "j")
+    blocks = _block_pairs(rows, crowds, sizes).groupBy("crowd", "tile_i", "tile_j", "i", "j")
     crowded = stage(blocks.applyInArrow(*_crowd_tables(kind, SIMILARITY, False)), "crowded")
     linked = links.select("a", "b").unionByName(
         members.filter("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))

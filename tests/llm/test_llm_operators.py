@@ -398,7 +398,10 @@ def test_mixed_blocks(spark):
     assert all(set(r.words) <= streams for r in blocks)
 
 
-def test_near_duplicates_of_large_families(spark):
+@pytest.mark.parametrize(("docs_of_block", "tile"), [(512, 4), (16, 2)])  # one task; blocks of a crowd in several tiles
+def test_near_duplicates_of_large_families(spark, monkeypatch, docs_of_block, tile):
+    monkeypatch.setattr(ngram_join, "CROWD_DOCS", docs_of_block)
+    monkeypatch.setattr(ngram_join, "TILE", tile)
     rng = random.Random(21)
     base, rows = sentence(rng, 200).split(), []
     for k in range(120):  # a dense family: all links count, copies included
@@ -418,6 +421,7 @@ def test_near_duplicates_of_large_families(spark):
         sets[i] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
     links = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     members, listed = ngram_join.near_duplicates(docs_of(spark, rows))
+    assert re.search(r"hashpartitioning\(crowd#\d+L?, tile_i#\d+L?, tile_j", listed._jdf.queryExecution().toString())
     degree = collections.Counter(a for a, _ in links)
     got = {r.doc_id: (r.class_id, r.n_links) for r in members.collect()}
     assert got == {i: (0 if i < 1_000 else i - i % 2, degree[i]) for i in sets}
