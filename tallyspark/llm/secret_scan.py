@@ -1,13 +1,16 @@
 """Secret scans with Spark expressions only: fixed patterns, and a battery of randomness tests.
 
 Base kinds are found by their patterns, leftmost and without overlaps within a kind. Other long tokens are candidates for
-the battery. From its characters a token's encoding is inferred (hex, base 32, base 62 or base 64), and three tests ask
+the battery. From its characters a token's encoding is inferred (digits, hex, base 26, 32, 36, 62 or 64), and three tests ask
 whether its symbols could be random: chi-squared uniformity over the alphabet, the number of runs of low and high symbols,
-and serial correlation. A token that fails one at level ``alpha`` (shared among the three) is text. A token that passes
-could still be a short word, so passing is not enough: ordinary identifiers change between lower case, upper case and
-digits at most every seventh character, and a Chernoff bound gives the chance of as many changes in a token of that
-length. Within each length class the Benjamini-Hochberg rule over all candidates of the corpus keeps the false discovery rate
-at ``fdr``; chances are sorted into narrow bins, each bin counting as its largest chance.
+and serial correlation. A token that fails one at level ``alpha`` (shared among the three) is text.
+
+A token that passes could still be an ordinary one, so the evidence is weighed: the likelihood of its symbols if they are uniform
+over the inferred alphabet, against that of an ordinary token, whose letters follow each other as in all different ordinary
+words of the corpus and which changes between lower case, upper case, digits and signs at most at every seventh character. Under the
+ordinary model the ratio reaches ``r`` with a chance of at most ``1 / r``, whatever the length. Within each length class the
+Benjamini-Hochberg rule over all candidates of the corpus keeps the false discovery rate at ``fdr``; chances are sorted into
+narrow bins, each bin counting as its largest chance.
 
 Results: one row for each input row. A null text is empty and has no spans. Repeated rows give repeated results; other
 columns are ignored unless asked for. Positions count code points; ends are exclusive.
@@ -33,6 +36,17 @@ BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE16 = "0123456789abcdef"
+# Encodings by their alphabets, the narrowest first; a token has the first that holds all its symbols.
+ENCODINGS = (
+    ("digits", "^[0-9]+$", BASE62[:10]), ("hex", "^[0-9a-f]+$", BASE16), ("lower", "^[a-z]+$", BASE62[36:]), ("upper", "^[A-Z]+$", BASE62[10:36]),
+    ("base32", "^[A-Z2-7]+$", BASE32), ("lower36", "^[a-z0-9]+$", BASE62[:10] + BASE62[36:]), ("upper36", "^[A-Z0-9]+$", BASE62[:36]),
+    ("base62", "^[A-Za-z0-9]+$", BASE62), ("base64", "", BASE64),
+)
+ORDINARY = r"(?<![A-Za-z0-9+/_-])[A-Za-z]{2,19}(?![A-Za-z0-9+/_=-])"
+LETTERS = BASE62[36:] + BASE62[:10]  # places 1 to 26; all digits count as place 27, signs as 0
+PLACES = 28
+SIGNS = "+/_-"
+SMOOTHING = 20.0  # further pairs by each first letter, dealt like all letters
 
 ALPHA = 0.001
 FDR = 0.001
@@ -90,42 +104,57 @@ def _normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def randomness(token: Column) -> Column:
-    """Struct of the battery's results for a token: encoding, n, p_random, p_word."""
+def letter_pairs(docs: DataFrame, text_column: str = "text") -> list[float]:
+    """Log chances of each place (0 signs, 1 to 26 letters, 27 digits) after each place, by rows, from all ordinary words of the corpus.
+
+    Each different word counts once, so that a line repeated without end decides nothing; 27 x 26 counts reach the driver.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_column), F.lit(ORDINARY), F.lit(0))).alias("word"))
+    words = words.select(F.lower("word").alias("word")).distinct()
+    places = F.transform(F.split("word", ""), lambda c: F.instr(F.lit(LETTERS), c))
+    pairs = words.select(F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), places).alias("a"), places.alias("b"))).alias("p"))
+    counts = pairs.filter("p.b is not null").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("rows")).collect()
+    seen = {(r.a, r.b): r.rows for r in counts}
+    after = [sum(seen.get((a, b), 0) for b in range(1, 27)) for a in range(PLACES)]
+    each = [sum(seen.get((a, b), 0) for a in range(PLACES)) + 1.0 for b in range(1, 27)]
+    table = []
+    for a in range(PLACES):
+        given = [(seen.get((a, b), 0) + SMOOTHING * each[b - 1] / sum(each)) / (after[a] + SMOOTHING) for b in range(1, 27)]
+        table += [-math.log(len(SIGNS)), *[math.log(p) for p in given], -math.log(10)]
+    return table
+
+
+def randomness(token: Column, table: list[float]) -> Column:
+    """Struct of the battery's results for a token: encoding, n, p_random, p_word; ``table`` are the letter pairs of ordinary words."""
+    chances = F.array(*[F.lit(p) for p in table])
+
     def bound(value: Column, use) -> Column:
         """``use`` of a value that is evaluated once, however often and in whatever loop it is used."""
         return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def lowered(body: Column) -> Column:
+    def prepared(body: Column) -> Column:
+        classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[a-z]", "x"), "[A-Z]", "y"), "[0-9]", "z")
         return F.struct(
-            body.alias("body"),
+            F.lower(body).alias("folded"),
             F.when(body.rlike("^[0-9A-F]+$"), F.lower(body)).otherwise(F.translate(body, "-_", "+/")).alias("lowered"),
-            F.regexp_replace(
-                F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[^A-Za-z0-9]", ""), "[a-z]", "x"), "[A-Z]", "y"), "[0-9]", "z"
-            ).alias("classes"),
+            F.translate(classes, "+/_-", "wwww").alias("classes"),
         )
 
     def encoded(t: Column) -> Column:
-        encoding = (
-            F.when(t["lowered"].rlike("^[0-9a-f]+$"), "hex")
-            .when(t["lowered"].rlike("^[A-Z2-7]+$"), "base32")
-            .when(t["lowered"].rlike("^[A-Za-z0-9]+$"), "base62")
-            .otherwise("base64")
-        )
-        m = F.length(t["classes"])
-        changes = m - F.length(F.regexp_replace(t["classes"], r"(.)(?=\1)", ""))  # repeats of a class
-        return F.struct(
-            encoding.alias("encoding"), t["body"].alias("body"), t["lowered"].alias("lowered"), m.alias("m"), changes.alias("changes")
-        )
+        place = F.lit(len(ENCODINGS) - 1)
+        for k, (_, pattern, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
+            place = F.when(t["lowered"].rlike(pattern), k).otherwise(place)
+        repeats = F.length(t["classes"]) - F.length(F.regexp_replace(t["classes"], r"(.)(?=\1)", ""))  # of a class
+        return F.struct(place.alias("place"), t["folded"].alias("folded"), t["lowered"].alias("lowered"), repeats.alias("repeats"))
 
     def symbols(t: Column) -> Column:
-        alphabet = (
-            F.when(t["encoding"] == "hex", BASE16).when(t["encoding"] == "base32", BASE32).when(t["encoding"] == "base62", BASE62).otherwise(BASE64)
-        )
+        alphabet = F.element_at(F.array(*[F.lit(alphabet) for _, _, alphabet in ENCODINGS]), t["place"] + 1)
         return F.struct(
-            t["encoding"].alias("encoding"), F.length(t["body"]).alias("n"), F.length(alphabet).cast("double").alias("k"),
+            F.element_at(F.array(*[F.lit(name) for name, _, _ in ENCODINGS]), t["place"] + 1).alias("encoding"),
+            F.length(t["lowered"]).alias("n"), F.length(alphabet).cast("double").alias("k"),
             F.transform(F.split(t["lowered"], ""), lambda c: F.instr(alphabet, c) - 1).alias("x"),
-            (t["m"] - 1).cast("double").alias("places"), (t["m"] - 1 - t["changes"]).cast("double").alias("changes"),
+            F.transform(F.split(t["folded"], ""), lambda c: F.least(F.instr(F.lit(LETTERS), c), F.lit(PLACES - 1))).alias("y"),
+            (F.length(t["lowered"]) - 1).cast("double").alias("places"), (F.length(t["lowered"]) - 1 - t["repeats"]).cast("double").alias("changes"),
         )
 
     def tests(g: Column) -> Column:
@@ -145,14 +174,18 @@ def randomness(token: Column) -> Column:
         product = F.aggregate(pairs, F.lit(0.0), lambda a, i: a + (F.get(x, i - 1) - middle) * (F.get(x, i) - middle))
         z_serial = product / ((k * k - 1) / 12) / F.sqrt(n - 1)
         p_random = F.least(F.lit(1.0), 3 * F.least(_normal_tail(z_chi), _normal_tail(z_runs), _normal_tail(z_serial)))
-        share = g["changes"] / F.greatest(g["places"], F.lit(1.0))
-        q = F.lit(CHANGE_RATE)
-        other = F.greatest(1 - share, F.lit(1e-12))
-        bound = F.exp(-g["places"] * (share * F.ln(F.greatest(share, F.lit(1e-12)) / q) + other * F.ln(other / (1 - q))))
-        p_word = F.when(share <= q, 1.0).otherwise(F.least(bound, F.lit(1.0)))
+        start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
+        letters = F.aggregate(
+            g["y"], start,
+            lambda a, v: F.struct(v.alias("last"), (a["sum"] + F.get(chances, a["last"] * PLACES + v)).alias("sum")), lambda a: a["sum"],
+        )
+        # The rate of class changes, up to its limit, that suits the token best; a change goes to one of three other classes.
+        rate = F.least(g["changes"] / F.greatest(g["places"], F.lit(1.0)), F.lit(CHANGE_RATE))
+        classes = g["changes"] * F.ln(F.greatest(rate, F.lit(1e-12)) / 3) + (g["places"] - g["changes"]) * F.ln(1 - rate)
+        p_word = F.exp(F.least(letters + classes + n * F.ln(k), F.lit(0.0)))
         return F.struct(g["encoding"].alias("encoding"), g["n"].alias("n"), p_random.alias("p_random"), p_word.alias("p_word"))
 
-    given = bound(bound(bound(F.regexp_replace(token, "=+$", ""), lowered), encoded), symbols)
+    given = bound(bound(bound(F.regexp_replace(token, "=+$", ""), prepared), encoded), symbols)
     return bound(given, tests)
 
 
@@ -192,7 +225,7 @@ def scan(
             spans, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"))
         )
 
-    tokens = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    tokens, table = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), letter_pairs(rows)
     found = rows.select(
         "row",
         F.concat(
@@ -211,7 +244,7 @@ def scan(
     tested = stage(
         found.select(
             "row", "base",
-            F.transform(free, lambda t: F.struct(t["span"].alias("span"), randomness(t["token"]).alias("r"))).alias("candidates"),
+            F.transform(free, lambda t: F.struct(t["span"].alias("span"), randomness(t["token"], table).alias("r"))).alias("candidates"),
         ),
         "secrets",
     )

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -286,6 +287,57 @@ def test_secrets(spark):
     assert shown[0] == "é [SECRET]' x" and shown[5] == "look [SECRET] here" and shown[7] is None and shown[6] == texts[6]
 
 
+def test_secrets_of_every_encoding(spark):
+    """Random tokens of each alphabet are found; names joined from ordinary words and numbers are not. Chances equal a plain count."""
+    rng = random.Random(9)
+    prose = [sentence(rng, 40) for _ in range(60)]
+    words = " ".join(prose).split()
+    rows, random_ids = list(enumerate(prose)), set()
+    alphabets = [a for name, _, a in secret_scan.ENCODINGS if name not in ("digits", "hex")] + ["0123456789ABCDEF"]
+    for alphabet in alphabets:
+        for _ in range(20):
+            random_ids.add(len(rows))
+            rows.append((len(rows), "see " + "".join(rng.choice(alphabet) for _ in range(32)) + " now"))
+    joins = [lambda w: "_".join(w), lambda w: "".join(x.capitalize() for x in w), lambda w: "/".join(w).upper(), lambda w: "".join(w)]
+    for k in range(160):
+        rows.append((len(rows), "see " + joins[k % 4]([rng.choice(words) for _ in range(8)])[:40].strip("_/") + " now"))
+    rows += [(len(rows) + k, "no " + "".join(rng.choice("0123456789") for _ in range(40))) for k in range(20)]
+    docs = docs_of(spark, [(i, t, None, None) for i, t in rows])
+    found = {r.row.doc_id for r in secret_scan.scan(docs).collect() if any(s.kind == "random" for s in r.spans)}
+    assert found <= random_ids and len(found) >= 0.95 * len(random_ids)
+
+    table = secret_scan.letter_pairs(docs)
+    pairs, firsts = collections.Counter(), collections.Counter()
+    for word in {w.lower() for _, text in rows for w in re.findall(secret_scan.ORDINARY, text)}:
+        for a, b in zip(" " + word, word):
+            pairs[a, b] += 1
+            firsts[a] += 1
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    share = {b: sum(n for (_, x), n in pairs.items() if x == b) + 1 for b in letters}
+
+    def chance(token):
+        name, k = next((n, len(a)) for n, _, a in secret_scan.ENCODINGS if set(token) <= set(a))
+        total, last, kinds = len(token) * math.log(k), " ", []
+        for c in token:
+            kinds.append("digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.isalpha() else "sign")
+            if c.isalpha():
+                p = (pairs[last, c.lower()] + 20 * share[c.lower()] / sum(share.values())) / (firsts[last] + 20)
+            else:
+                p = 0.1 if c.isdigit() else 0.25
+            total += math.log(p)
+            last = c.lower() if c.isalpha() else "#" if c.isdigit() else " "
+        changes, places = sum(a != b for a, b in zip(kinds, kinds[1:])), len(token) - 1
+        rate = min(changes / places, secret_scan.CHANGE_RATE)
+        total += (changes * math.log(rate / 3) if changes else 0.0) + (places - changes) * math.log(1 - rate)
+        return name, min(1.0, math.exp(total))
+
+    tokens = ["".join(rng.choice(a) for _ in range(24)) for _, _, a in secret_scan.ENCODINGS] + ["plain_words_of_a_path/x", "1" * 30]
+    tested = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.randomness(F.col("t"), table).alias("r")).collect()
+    for r in tested:
+        name, p = chance(r.t.translate(str.maketrans("-", "+")) if "_" not in r.t else r.t.replace("_", "/"))
+        assert r.r.encoding == name and math.isclose(r.r.p_word, p, rel_tol=1e-9)
+
+
 def test_near_duplicates(spark, corpus):
     rows, _ = corpus
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs_of(spark, rows))[0].collect()}
