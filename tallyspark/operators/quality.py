@@ -13,7 +13,7 @@ from tallyspark import settings
 from tallyspark.functions.columns import canon, number, ratio
 from tallyspark.functions.ordered import quantiles_of_cells
 from tallyspark.session import bounded_rows, stage
-from tallyspark.sources.rules import RuleSet
+from tallyspark.sources.rules import RuleSet, schema_report
 
 GROUP = ["VARIABLE", "YEAR"]
 TOP_CODES = 10
@@ -354,8 +354,10 @@ def structural_breaks(summary: DataFrame) -> DataFrame:
     )
 
 
-def validation_suite(df: DataFrame, rules: RuleSet, dictionary: DataFrame) -> dict[str, DataFrame]:
-    """All reports by name; code counts and coverage are computed once and shared."""
+def validation_suite(
+    df: DataFrame, rules: RuleSet, dictionary: DataFrame, rule_files: dict[str, tuple[DataFrame, list[str]]] = {}
+) -> dict[str, DataFrame]:
+    """All reports by name; code counts and coverage are computed once and shared. ``rule_files``: frame and required columns."""
     targets = [v for v in settings.HARMONIZE_VARS if v in df.columns]
     codes = stage(code_counts(df, list(dict.fromkeys(present_categories(df) + targets))), "codes")
     gaps = stage(missingness(df), "missingness")
@@ -371,4 +373,7 @@ def validation_suite(df: DataFrame, rules: RuleSet, dictionary: DataFrame) -> di
         "outlier_summary": outliers,
         "structural_breaks": structural_breaks(outliers),
         "variable_documentation": variable_docs(coverage, rules, dictionary),
+        "column_audit": column_audit(df),
+        "checks": check_report(df),
+        **{f"{name}_rules_schema": schema_report(frame, required, name) for name, (frame, required) in rule_files.items()},
     }

@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 
 from tallyspark import settings
 from tallyspark.functions.columns import hash_unit, hash_word, number
-from tallyspark.functions.joins import skew_join
 from tallyspark.functions.ordered import exact_quantiles, spearman
 from tallyspark.operators.features import COUNT, fit_encoder, fit_fill
 from tallyspark.operators.metrics import confusion_counts, scores
 from tallyspark.operators.profiles import top_rows
 from tallyspark.operators.regression import SUM_SCHEMA, _gather, _upper
 from tallyspark.operators.sampling import priority_sample
-from tallyspark.session import bounded_rows, spread, stage
+from tallyspark.session import bounded_rows, stage
 
 TREE_ROWS = 256
 NODE_SCHEMA = "tree int, node int, feature int, cut double, below int, above int, depth double"
@@ -95,25 +94,49 @@ def _grow(columns: list[str], seed: int):
     return run
 
 
-def _score(columns: list[str], forest: list[dict[str, np.ndarray]], typical: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = pdf[columns].to_numpy(dtype=float)
-            length = np.zeros(len(data))
-            for tree in forest:
-                at = np.zeros(len(data), dtype=int)
-                while True:
-                    feature = tree["feature"][at]
-                    inner = feature >= 0
-                    if not inner.any():
-                        break
-                    here = at[inner]
-                    goes_down = data[np.flatnonzero(inner), feature[inner]] <= tree["cut"][here]
-                    at[inner] = np.where(goes_down, tree["below"][here], tree["above"][here])
-                length += tree["depth"][at]
-            yield pdf.assign(anomaly_score=2.0 ** (-length / len(forest) / typical))
+def forest_score(forest: list[dict[str, np.ndarray]], typical: float):
+    """A column function: the anomaly score of a row from its filled features; equal rows of a batch are scored once."""
+
+    def score(*features: pd.Series) -> pd.Series:
+        data, place = np.unique(np.column_stack([f.to_numpy(dtype=float) for f in features]), axis=0, return_inverse=True)
+        length = np.zeros(len(data))
+        for tree in forest:
+            at = np.zeros(len(data), dtype=int)
+            while True:
+                feature = tree["feature"][at]
+                inner = feature >= 0
+                if not inner.any():
+                    break
+                here = at[inner]
+                goes_down = data[np.flatnonzero(inner), feature[inner]] <= tree["cut"][here]
+                at[inner] = np.where(goes_down, tree["below"][here], tree["above"][here])
+            length += tree["depth"][at]
+        return pd.Series((2.0 ** (-length / len(forest) / typical))[place.ravel()])
+
+    return F.pandas_udf(score, "double")
+
+
+def pack_forest(nodes: list) -> list[dict[str, np.ndarray]]:
+    """Node rows as arrays, one set for each tree; a node's number is its place."""
+    trees: dict[int, list] = {}
+    for row in nodes:
+        trees.setdefault(row["tree"], []).append(row)
+    ordered = [sorted(rows, key=lambda r: r["node"]) for rows in trees.values()]
+    return [{c: np.array([r[c] for r in rows]) for c in ["feature", "cut", "below", "above", "depth"]} for rows in ordered]
 
-    return run
+
+def flag_anomalies(df: DataFrame, columns: list[str], fill, forest, typical: float, contamination: float = 0.03) -> DataFrame:
+    """``df`` with the score of every row by a given forest, and a flag beyond the exact quantile of the scores.
+
+    Rows are scored where they lie and written once; the quantile reads the scores alone, and nothing is joined.
+    """
+    raw = [f"_v_{c}" for c in columns]
+    filled = fill.filled(df.withColumns({r: number(c) + F.lit(0.0) for r, c in zip(raw, columns)}))
+    scored = stage(filled.select(*df.columns, forest_score(forest, typical)(*raw).alias("anomaly_score")), "scores")
+    keyed = scored.select(F.lit(1).alias("_g"), "anomaly_score")
+    cut = exact_quantiles(keyed, ["_g"], "anomaly_score", {"cut": 1 - contamination}).first()
+    limit = F.lit(float(cut["cut"]) if cut else 0.0)
+    return scored.withColumn("is_anomaly", (F.col("anomaly_score") > limit).cast("int"))
 
 
 def isolation_forest(
@@ -128,8 +151,7 @@ def isolation_forest(
 
     Trees only ever see 256 rows each, so they grow from one bounded hash sample, split
     over Spark by tree. The forest (about 500 nodes per tree) is all that returns.
-    Scoring runs once per distinct combination of values; the cut is the exact quantile
-    of the scores over all rows.
+    All rows are scored in one narrow pass; the cut is the exact quantile of their scores.
     """
     spark = df.sparkSession
     raw = [f"_v_{c}" for c in columns]
@@ -150,30 +172,9 @@ def isolation_forest(
         hash_unit(seed + 1, "_j", *keys).alias("_o"),
     )
     grown = assigned.groupBy("tree").applyInPandas(_grow(raw, seed), NODE_SCHEMA)
-    forest: dict[int, list] = {}
-    for row in bounded_rows(grown, trees * TREE_ROWS * 2, "tree nodes"):
-        forest.setdefault(row["tree"], []).append(row)
-    packed = []
-    for nodes in forest.values():
-        nodes = sorted(nodes, key=lambda r: r["node"])
-        packed.append({c: np.array([r[c] for r in nodes]) for c in ["feature", "cut", "below", "above", "depth"]})
+    forest = pack_forest(bounded_rows(grown, trees * TREE_ROWS * 2, "tree nodes"))
     typical = _average_path(min(TREE_ROWS, max(size * copies / trees, 2)))
-    shared = [f"_f_{c}" for c in columns]
-    filled = spread(cells).select(*raw, COUNT, *[c.alias(s) for s, c in zip(shared, fill.columns(False).values())])
-    schema = f"{', '.join(f'`{c}` double' for c in raw)}, {COUNT} bigint, {', '.join(f'`{c}` double' for c in shared)}, anomaly_score double"
-    scored = stage(filled.mapInPandas(_score(shared, packed, typical), schema).select(*raw, COUNT, "anomaly_score"), "scores")
-    keyed = scored.withColumn("_g", F.lit(1))
-    cut = exact_quantiles(keyed, ["_g"], "anomaly_score", {"cut": 1 - contamination}, F.col(COUNT)).first()["cut"]
-    # One text key per combination, nulls included.
-    combination = F.to_json(F.struct(*raw)).alias("_combination")
-    flagged = scored.select(
-        combination,
-        "anomaly_score",
-        (F.col("anomaly_score") > F.lit(float(cut))).cast("int").alias("is_anomaly"),
-        F.col(COUNT).alias("_size"),
-    )
-    joined = skew_join(rows.select("*", combination), flagged, ["_combination"], "_size", "inner")
-    return joined.select(*df.columns, "anomaly_score", "is_anomaly")
+    return flag_anomalies(df, columns, fill, forest, typical, contamination)
 
 
 def anomaly_rates(flagged: DataFrame, dimensions: list[str]) -> DataFrame:

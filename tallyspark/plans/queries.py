@@ -16,12 +16,12 @@ from tallyspark.functions.ordered import gini, spearman
 from tallyspark.operators import bayes, classifiers, features, indices, metrics, profiles, quality, regression, sampling
 from tallyspark.operators import tables as tb
 from tallyspark.operators import unsupervised
-from tallyspark.operators.cleaning import apply_missing_rules, clean_and_harmonize, clean_types
+from tallyspark.operators.cleaning import apply_missing_rules, clean_and_harmonize, clean_types, harmonize, require_columns
 from tallyspark.plans import oracles as o
 from tallyspark.plans.census import CENSUS_RULES, census, read_census, survey, table
 from tallyspark.session import new_stage_path
 from tallyspark.sources import loose_csv
-from tallyspark.sources.rules import dictionary_frame
+from tallyspark.sources.rules import HARMONIZATION_COLUMNS, RuleSet, dictionary_frame, load_rule_table, schema_report
 from tallyspark.sources.tables import scan, write_table
 from tallyspark.streaming import ingest as streams
 
@@ -1055,26 +1055,69 @@ def kmeans_summary(spark, folder):
     return unsupervised.cluster_summary(unsupervised.kmeans_clusters(survey(spark, folder).cells, FEATURES)[0])
 
 
-ANOMALY = ["YEAR", "wealth_index", "URBAN_H"]
-
-
-def _flagged(spark, folder) -> DataFrame:
-    return unsupervised.isolation_forest(survey(spark, folder).enriched.select(*KEYS, "wealth_index", "URBAN_H", "GEO1_VN"), ANOMALY, KEYS)
-
-
 @query()
 def isolation_forest(spark, folder):
-    return _flagged(spark, folder).select(*KEYS, "wealth_index", "anomaly_score", "is_anomaly")
+    return survey(spark, folder).flagged.select(*KEYS, "wealth_index", "anomaly_score", "is_anomaly")
 
 
 @query()
 def anomaly_rates(spark, folder):
-    return unsupervised.anomaly_rates(_flagged(spark, folder), ["YEAR", "URBAN_H"])
+    return unsupervised.anomaly_rates(survey(spark, folder).flagged, ["YEAR", "URBAN_H"])
 
 
 @query()
 def anomaly_top(spark, folder):
-    return unsupervised.top_anomalies(_flagged(spark, folder), KEYS).select(*KEYS, "wealth_index", "anomaly_score", "is_anomaly")
+    return unsupervised.top_anomalies(survey(spark, folder).flagged, KEYS).select(*KEYS, "wealth_index", "anomaly_score", "is_anomaly")
+
+
+# A given forest, so that scores, rates and records can be stated in SQL: (tree, node, feature, cut, below, above, depth).
+GIVEN_FEATURES = ["YEAR", "ROOMS", "URBAN_H"]
+GIVEN_NODES = [
+    (0, 0, 1, 5.0, 1, 2, 0.0), (0, 1, 0, 1999.0, 3, 4, 0.0), (0, 2, -1, 0.0, -1, -1, 1.0), (0, 3, -1, 0.0, -1, -1, 6.0), (0, 4, -1, 0.0, -1, -1, 4.5),
+    (1, 0, 0, 1989.0, 1, 2, 0.0), (1, 1, 2, 1.0, 3, 4, 0.0), (1, 2, -1, 0.0, -1, -1, 5.0), (1, 3, -1, 0.0, -1, -1, 2.0), (1, 4, -1, 0.0, -1, -1, 3.5),
+    (2, 0, 2, 1.0, 1, 2, 0.0), (2, 1, -1, 0.0, -1, -1, 1.5), (2, 2, 1, 2.0, 3, 4, 0.0), (2, 3, -1, 0.0, -1, -1, 4.0), (2, 4, -1, 0.0, -1, -1, 5.5),
+]
+GIVEN_TYPICAL, GIVEN_SHARE = 4.0, 0.1
+_GIVEN = (
+    "SELECT *, CASE WHEN anomaly_score > (SELECT quantile_cont(anomaly_score, 0.9) FROM given_scores) THEN 1 ELSE 0 END AS is_anomaly FROM given_scores"
+)
+_GIVEN_SCORES = (
+    "SELECT YEAR, SERIAL, URBAN_H, pow(2.0, -((CASE WHEN ROOMS > 5 THEN 1.0 WHEN YEAR <= 1999 THEN 6.0 ELSE 4.5 END) "
+    "+ (CASE WHEN YEAR > 1989 THEN 5.0 WHEN CAST(URBAN_H AS DOUBLE) <= 1 THEN 2.0 ELSE 3.5 END) "
+    "+ (CASE WHEN CAST(URBAN_H AS DOUBLE) <= 1 THEN 1.5 WHEN ROOMS <= 2 THEN 4.0 ELSE 5.5 END)) / 3 / 4.0) AS anomaly_score FROM hh"
+)
+_GIVEN_CTES = [("given_scores", _GIVEN_SCORES), ("given_flags", _GIVEN)]
+
+
+def _given_flags(spark, folder) -> DataFrame:
+    names = [c.split()[0] for c in unsupervised.NODE_SCHEMA.split(", ")]
+    forest = unsupervised.pack_forest([dict(zip(names, node)) for node in GIVEN_NODES])
+    rows = survey(spark, folder).households.select(*KEYS, *[c for c in GIVEN_FEATURES if c not in KEYS])
+    none = [f"_v_{c}" for c in GIVEN_FEATURES]
+    fill = features.Fill(none, [], {c: 0.0 for c in none}, {}, {}, {})
+    return unsupervised.flag_anomalies(rows, GIVEN_FEATURES, fill, forest, GIVEN_TYPICAL, GIVEN_SHARE)
+
+
+@query("SELECT YEAR, SERIAL, anomaly_score, is_anomaly FROM given_flags", ["hh"], ["YEAR", "SERIAL", "is_anomaly"], ["anomaly_score"], _GIVEN_CTES)
+def anomaly_scores_given(spark, folder):
+    return _given_flags(spark, folder).select(*KEYS, "anomaly_score", "is_anomaly")
+
+
+@query(
+    "SELECT 'YEAR' AS group_dimension, CAST(YEAR AS VARCHAR) AS group_value, count(*) AS n_obs, avg(is_anomaly) AS anomaly_rate FROM given_flags "
+    "GROUP BY YEAR UNION ALL SELECT 'URBAN_H', URBAN_H, count(*), avg(is_anomaly) FROM given_flags GROUP BY URBAN_H",
+    ["hh"], ["group_dimension", "group_value", "n_obs"], ["anomaly_rate"], _GIVEN_CTES,
+)
+def anomaly_rates_given(spark, folder):
+    return unsupervised.anomaly_rates(_given_flags(spark, folder), ["YEAR", "URBAN_H"])
+
+
+@query(
+    "SELECT YEAR, SERIAL, anomaly_score, is_anomaly FROM given_flags ORDER BY is_anomaly DESC, anomaly_score DESC, YEAR, SERIAL LIMIT 500",
+    ["hh"], ["YEAR", "SERIAL", "is_anomaly"], ["anomaly_score"], _GIVEN_CTES,
+)
+def anomaly_top_given(spark, folder):
+    return unsupervised.top_anomalies(_given_flags(spark, folder), KEYS).select(*KEYS, "anomaly_score", "is_anomaly")
 
 
 @query()
@@ -1215,3 +1258,78 @@ def stream_ingest(spark, folder):
 def stream_audit(spark, folder):
     stream = apply_missing_rules(_person_stream(spark, folder), CENSUS_RULES)
     return streams.stream_missingness(stream, new_stage_path(spark, "stream-log"))
+
+
+_CODED = ["GEO1_VN", "URBAN", "OWNERSHIP", "ELECTRIC", "WATSUP", "SEWAGE", "WALL", "ROOF", "SEX", "MARST", "EDATTAIN", "CLASSWK"]
+
+
+@query(" UNION ALL ".join(f"SELECT YEAR, '{c}' AS VARIABLE, count(DISTINCT {c}) AS N_UNIQUE FROM nulled GROUP BY YEAR" for c in _CODED), ["nulled"])
+def stream_distincts(spark, folder):
+    """Distinct codes from sketches in the state store; sketches of that few codes hold them all."""
+    stream = apply_missing_rules(_person_stream(spark, folder), CENSUS_RULES)
+    return streams.distinct_counts([streams.stream_sketches(stream, _CODED, new_stage_path(spark, "stream-log"))])
+
+
+@query(_LOGIC, ["harm"])
+def stream_checks(spark, folder):
+    return streams.stream_checks(clean_and_harmonize(_person_stream(spark, folder), CENSUS_RULES), new_stage_path(spark, "stream-log"))
+
+
+@query(
+    "SELECT YEAR, GEO1_VN, sum(PERWT * ROOMS) / sum(PERWT) AS weighted_mean, count(*) AS n_obs FROM harm "
+    "WHERE ROOMS IS NOT NULL AND PERWT IS NOT NULL AND GEO1_VN IS NOT NULL GROUP BY YEAR, GEO1_VN",
+    ["harm"], ["YEAR", "GEO1_VN", "n_obs"], ["weighted_mean"],
+)
+def stream_region_means(spark, folder):
+    persons = clean_and_harmonize(_person_stream(spark, folder), CENSUS_RULES)
+    sums = streams.stream_sums(persons, ["YEAR", "GEO1_VN"], "ROOMS", "PERWT", new_stage_path(spark, "stream-log"))
+    return streams.group_means([sums], ["YEAR", "GEO1_VN"])
+
+
+# --- rules from files, whole suite -----------------------------------------------------
+
+
+def _rule_file(spark, folder) -> DataFrame:
+    """A harmonisation file written from the tables, nations to regions, read by the rule loader."""
+    path = new_stage_path(spark, "rules")
+    rules = table(spark, folder, "nation").select(
+        F.lit("GEO1_VN").alias("Variable_Name"), F.lit("ALL").alias("YEAR"), F.col("n_nationkey").alias("original_code"),
+        F.concat(F.lit("R"), "n_regionkey").alias("harmonized_code"),
+    )
+    rules.write.option("header", True).csv(path)
+    return load_rule_table(spark, path)
+
+
+@query(
+    "SELECT c.YEAR, 'R' || n_regionkey AS GEO1_VN_H, count(*) AS n_persons, min(s.present) AS all_columns FROM census c "
+    "JOIN nation ON CAST(n_nationkey AS VARCHAR) = c.GEO1_VN CROSS JOIN (SELECT 1 AS present) s GROUP BY ALL", ["census"],
+)
+def rules_from_files(spark, folder):
+    """Persons by year and region, harmonised by rules that were loaded from a file; whether the file has all columns."""
+    loaded = _rule_file(spark, folder)
+    rules = RuleSet.from_frames(None, loaded)
+    whole = schema_report(loaded, HARMONIZATION_COLUMNS, "harmonization").agg(F.min("present")).first()[0]
+    persons = harmonize(require_columns(read_census(spark, folder)), rules, ["GEO1_VN"])
+    return persons.groupBy("YEAR", "GEO1_VN_H").agg(F.count(F.lit(1)).alias("n_persons")).withColumn("all_columns", F.lit(whole))
+
+
+# Names of the reports, and of the queries that have their SQL.
+_SUITE = {
+    "metadata_usage_audit": "metadata_usage", "missingness_summary": "missingness", "category_consistency": "category_consistency",
+    "harmonization_coverage": "harmonization_coverage", "outlier_summary": "outlier_summary", "structural_breaks": "structural_breaks",
+    "variable_documentation": "variable_docs", "column_audit": "column_audit", "checks": "check_report",
+}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{report}' AS report, count(*) AS n_rows FROM ({ORACLES[name]}) t" for report, name in _SUITE.items())
+    + f" UNION ALL SELECT 'harmonization_rules_schema', {len(HARMONIZATION_COLUMNS)}"
+)
+def validation_suite(spark, folder):
+    """Rows of every report of the whole suite."""
+    reports = survey(spark, folder).validation({"harmonization": (_rule_file(spark, folder), HARMONIZATION_COLUMNS)})
+    sizes = [r.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows")) for name, r in reports.items()]
+    out = sizes[0]
+    for part in sizes[1:]:
+        out = out.unionByName(part)
+    return out

@@ -56,6 +56,13 @@ class Survey:
     def cells(self) -> DataFrame:
         return model_cells(self.enriched)
 
+    @cached_property
+    def flagged(self) -> DataFrame:
+        """Households with anomaly score and flag; the forest is grown and all rows are scored once for all reports."""
+        keys = settings.HOUSEHOLD_KEYS
+        rows = self.enriched.select(*keys, "wealth_index", "URBAN_H", "GEO1_VN")
+        return unsupervised.isolation_forest(rows, ["YEAR", "wealth_index", "URBAN_H"], keys)
+
     def learner(self, name: str) -> classifiers.Classifier:
         """A learner of full size on the training cells; every report uses the same fit."""
         if name not in self._learners:
@@ -113,8 +120,9 @@ class Survey:
             [(name, "skipped", reason) for name, reason in skipped.items()], "component string, status string, reason string"
         )
 
-    def validation(self) -> dict[str, DataFrame]:
-        return quality.validation_suite(self.harmonized, self.rules, dictionary_frame(self.spark))
+    def validation(self, rule_files: dict[str, tuple[DataFrame, list[str]]] = {}) -> dict[str, DataFrame]:
+        """All validation reports; of rule files (frame, required columns) by name also their schema."""
+        return quality.validation_suite(self.harmonized, self.rules, dictionary_frame(self.spark), rule_files)
 
     def network_cells(self) -> DataFrame:
         keys = settings.HOUSEHOLD_KEYS

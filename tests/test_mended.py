@@ -56,3 +56,13 @@ def test_yearly_series_quoted(spark, tmp_path):
     path.write_text('"Data Source","World"\n\n"Updated","2024"\n\n"Country, Name","Code","1990","1991"\n"A, B","X","1","2"\n')
     got = loose_csv.read_yearly_series(spark, str(path))
     assert got.columns == ["Country, Name", "Code", "1990", "1991"] and [tuple(r) for r in got.collect()] == [("A, B", "X", "1", "2")]
+
+
+def test_isolation_forest_scores_rows_where_they_lie(spark):
+    """Far rows are flagged, nulls take the median's place, equal rows get equal scores, and no join is planned."""
+    rows = [(k, float(k % 10), float(k % 7) if k % 50 else None) for k in range(600)] + [(1_000 + k, 500.0, -300.0) for k in range(6)]
+    flagged = isolation_forest(spark.createDataFrame(rows, "k int, x double, y double"), ["x", "y"], ["k"], trees=40)
+    assert "Join" not in flagged._jdf.queryExecution().toString()
+    got = {r.k: r for r in flagged.collect()}
+    assert len(got) == len(rows) and all(got[1_000 + k].is_anomaly == 1 for k in range(6))
+    assert got[1].anomaly_score == got[71].anomaly_score and got[50].y is None and 0 < got[50].anomaly_score < got[1_000].anomaly_score

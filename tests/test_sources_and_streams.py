@@ -76,3 +76,32 @@ def test_streams_over_many_batches_equal_batch(spark, tmp_path):
     audit = ingest.stream_missingness(source(), str(tmp_path / "c2"))
     batch = quality.missingness(raw)
     assert audit.exceptAll(batch).count() == 0 and audit.count() == batch.count()
+
+
+def test_stream_summaries_merge(spark, tmp_path):
+    """Two streams of several batches each, merged, give what one pass over all rows gives."""
+    raw = spark.range(4_000).selectExpr(
+        "cast(if(id % 4 = 0, null, 1989 + 10 * (id % 2)) as int) AS YEAR", "cast(id % 5 as string) AS GEO1_VN",
+        "cast(if(id % 7 = 0, null, id % 90) as double) AS AGE", "cast(1 + id % 3 as double) AS PERWT", "cast(id as string) AS SERIAL",
+        "if(id % 11 = 0, null, 'c' || id % 13) AS WALL",
+    )
+    frames = []
+    for part in (0, 1):
+        folder = str(tmp_path / f"in{part}")
+        raw.filter(f"cast(SERIAL as int) % 2 = {part} or SERIAL < '3'").filter(f"{part} = 0 or cast(SERIAL as int) % 2 = 1").repartition(5).write.parquet(folder)
+        frames.append(lambda folder=folder: ingest.file_stream(spark, folder, raw.schema, files_per_batch=2))
+    log = lambda n: str(tmp_path / f"log{n}")
+    sketches = [ingest.stream_sketches(f(), ["WALL", "SERIAL"], log(f"s{k}")) for k, f in enumerate(frames)]
+    got = {(r.YEAR, r.VARIABLE): r.N_UNIQUE for r in ingest.distinct_counts(sketches).collect()}
+    both = spark.read.parquet(str(tmp_path / "in0"), str(tmp_path / "in1"))
+    want = both.filter("YEAR is not null").groupBy("YEAR").agg(F.countDistinct("WALL").alias("w"), F.countDistinct("SERIAL").alias("s")).collect()
+    assert len(got) == 2 * len(want)
+    for r in want:
+        assert got[r.YEAR, "WALL"] == r.w and abs(got[r.YEAR, "SERIAL"] - r.s) <= 0.03 * r.s
+    checks = quality.combine_checks([ingest.stream_checks(f(), log(f"c{k}")) for k, f in enumerate(frames)])
+    assert {tuple(r) for r in checks.select("CHECK", "N_FAIL").collect()} == {tuple(r) for r in quality.logical_checks(both).select("CHECK", "N_FAIL").collect()}
+    sums = [ingest.stream_sums(f(), ["YEAR", "GEO1_VN"], "AGE", "PERWT", log(f"r{k}")) for k, f in enumerate(frames)]
+    means = {(r.YEAR, r.GEO1_VN): (r.weighted_mean, r.n_obs) for r in ingest.group_means(sums, ["YEAR", "GEO1_VN"]).collect()}
+    present = both.dropna(subset=["YEAR", "GEO1_VN", "AGE", "PERWT"]).groupBy("YEAR", "GEO1_VN")
+    batch = present.agg((F.sum(F.col("AGE") * F.col("PERWT")) / F.sum("PERWT")).alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    assert means == {(r.YEAR, r.GEO1_VN): (r.m, r.n) for r in batch}
