@@ -1122,9 +1122,7 @@ def anomaly_top_given(spark, folder):
 
 @query()
 def representation_benchmark(spark, folder):
-    s = survey(spark, folder)
-    scored = s.enriched.groupBy(*FEATURES, "wealth_index").agg(F.count(F.lit(1)).alias("n"))
-    return unsupervised.representation_benchmark(s.cells, scored, TARGET, FEATURES)
+    return survey(spark, folder).representation
 
 
 # --- Bayesian network ----------------------------------------------------------------
@@ -1135,8 +1133,7 @@ EDGES = [("URBAN_H", TARGET), (TARGET, "ELECTRIC_H"), ("URBAN_H", "ELECTRIC_H"),
 
 
 def _network(spark, folder) -> tuple[DataFrame, list]:
-    cells = survey(spark, folder).network_cells()
-    return cells, bayes.search_structure(cells.filter("train"), VARIABLES)
+    return survey(spark, folder).bayes_network
 
 
 @query("SELECT k_year, k_serial, YEAR, GEO1_VN, URBAN_H, ELECTRIC_H, WATSUP_H, wealth_class FROM network", ["network"])
@@ -1237,7 +1234,12 @@ def bn_scenarios(spark, folder):
 @query("SELECT 1 AS streaming_stage_used, (SELECT count(*) FROM hh) AS households_analyzed, (SELECT count(*) FROM person) AS person_rows_for_regressions, "
        "4 AS traditional_models_run, 2 AS deep_learning_components_run, 1 AS bayesian_network_run", ["hh", "person"])
 def run_summary(spark, folder):
-    return survey(spark, folder).run_summary(list(classifiers.LEARNERS), networks=1, components=2)
+    s = survey(spark, folder)
+    for name in classifiers.LEARNERS:
+        s.learner(name)
+    # Fitted by the first that asks, and shared with the reports on them.
+    s.network, s.representation, s.bayes_network
+    return s.run_summary()
 
 
 def _person_stream(spark, folder) -> DataFrame:

@@ -130,6 +130,17 @@ class Survey:
         prepared = bayes.prepare(keyed, keep=[f"_k_{k}" for k in keys])
         return bayes.network_cells(prepared, settings.NETWORK_FEATURES, "wealth_class", [f"_k_{k}" for k in keys])
 
+    @cached_property
+    def bayes_network(self) -> tuple[DataFrame, list]:
+        """The network's cells and the edges that the search finds on the training cells."""
+        cells = stage(self.network_cells(), "network")
+        return cells, bayes.search_structure(cells.filter("train"), settings.NETWORK_FEATURES)
+
+    @cached_property
+    def representation(self) -> DataFrame:
+        scored = self.enriched.groupBy(*settings.MODEL_FEATURES, "wealth_index").agg(F.count(F.lit(1)).alias("n"))
+        return unsupervised.representation_benchmark(self.cells, scored, "wealth_class", settings.MODEL_FEATURES)
+
     def model_reports(self, learners: list[str]) -> dict[str, DataFrame]:
         """Classifier, network and cluster tables."""
         target, features = "wealth_class", settings.MODEL_FEATURES
@@ -149,14 +160,16 @@ class Survey:
             "kmeans_cluster_metrics": metrics,
         }
 
-    def run_summary(self, learners: list[str], networks: int, components: int) -> DataFrame:
-        """One row: what was analysed and how much ran."""
+    def run_summary(self) -> DataFrame:
+        """One row: what was analysed, and how many learners, latent models and networks this survey has fitted so far."""
+        households = self.enriched.agg(F.count(F.lit(1)).alias("households_analyzed"))
         persons = self.persons.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-        return self.enriched.agg(F.count(F.lit(1)).alias("households_analyzed")).select(
-            F.lit(1).alias("streaming_stage_used"),
+        done = self.__dict__
+        return households.select(
+            F.lit(int("harmonized" in done)).alias("streaming_stage_used"),
             "households_analyzed",
             F.lit(persons).cast("bigint").alias("person_rows_for_regressions"),
-            F.lit(len(learners)).alias("traditional_models_run"),
-            F.lit(components).alias("deep_learning_components_run"),
-            F.lit(networks).alias("bayesian_network_run"),
+            F.lit(len(self._learners)).alias("traditional_models_run"),
+            F.lit(("network" in done) + ("representation" in done)).alias("deep_learning_components_run"),
+            F.lit(int("bayes_network" in done)).alias("bayesian_network_run"),
         )

@@ -3,7 +3,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from tallyspark.plans.census import survey
+from tallyspark.plans.census import CENSUS_RULES, read_census, survey
+from tallyspark.plans.survey import Survey
 from tests_support import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -36,3 +37,14 @@ def test_model_reports(spark):
     reports = survey(spark, FOLDER).model_reports(["logistic_regression"])
     for name, report in reports.items():
         assert report.count() > 0, name
+
+
+def test_run_summary_counts_what_ran(spark):
+    tables = Survey(read_census(spark, FOLDER), CENSUS_RULES)
+    none = tables.run_summary().first()
+    assert none.households_analyzed > 0 and none.person_rows_for_regressions > 0 and none.streaming_stage_used == 1
+    assert (none.traditional_models_run, none.deep_learning_components_run, none.bayesian_network_run) == (0, 0, 0)
+    tables.learner("logistic_regression")
+    tables.bayes_network
+    some = tables.run_summary().first()
+    assert (some.traditional_models_run, some.deep_learning_components_run, some.bayesian_network_run) == (1, 0, 1)
