@@ -13,7 +13,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -26,6 +25,7 @@ from tallyspark import settings
 from tallyspark.functions.columns import hash_word
 from tallyspark.operators.features import COUNT, Encoder, fit_encoder
 from tallyspark.operators.metrics import confusion_counts, scores, subgroup_scores
+from tallyspark.operators.nets import fit_net
 from tallyspark.operators import trees
 from tallyspark.operators.profiles import survey_years
 from tallyspark.session import stage
@@ -167,18 +167,21 @@ def keep_vectors(df: DataFrame, size: int) -> DataFrame:
 def fit_network(
     rows: DataFrame, target: str, features: list[str], hidden: tuple[int, ...] = (128, 64), max_iter: int = 120
 ) -> tuple[Classifier, list[float]]:
-    """Feed-forward net on rows (the learner takes no weights); returns it with its loss history."""
-    cells = rows.groupBy(*features).agg(F.count(F.lit(1)).alias(COUNT))
-    encoder = fit_encoder(stage(cells, "cells"), features)
-    indexer = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
+    """Feed-forward net on rows; returns it with its loss history."""
+    cells = rows.groupBy(*features, target).agg(F.count(F.lit(1)).alias(COUNT))
+    return fit_network_cells(stage(cells, "cells"), target, features, hidden, max_iter)
+
+
+def fit_network_cells(
+    cells: DataFrame, target: str, features: list[str], hidden: tuple[int, ...] = (128, 64), max_iter: int = 120
+) -> tuple[Classifier, list[float]]:
+    """The same net on weighted cells: an iteration costs as much as there are cells, not rows."""
+    train = cells.select(*features, target, COUNT)
+    encoder = fit_encoder(train, features)
+    indexer = StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
     labels = list(indexer.labels)
-    encoded = keep_vectors(indexer.transform(encoder.transform(rows)).select("_y", "features"), rows.count())
-    width = len(encoded.first()["features"])
-    learner = MultilayerPerceptronClassifier(
-        layers=[width, *hidden, max(len(labels), 2)], labelCol="_y", featuresCol="features", maxIter=max_iter, seed=settings.SEED
-    ).fit(encoded)
-    encoded.unpersist()
-    history = [float(v) for v in learner.summary().objectiveHistory]
+    encoded = indexer.transform(encoder.transform(train)).select("_y", "features", COUNT)
+    learner, history = fit_net(encoded, COUNT, hidden, len(labels), max_iter, settings.SEED, max(1, train.count() // ROWS_PER_TASK))
     return Classifier(encoder, labels, learner, lambda df: df), history
 
 
@@ -216,9 +219,7 @@ def temporal_validation(
         if not sizes[0] or sizes[1] < 2:
             return None
         if name == NET:
-            # The net takes no weights, so its cells are unfolded into rows again.
-            rows = earlier.select(*features, target, F.explode(F.array_repeat(F.lit(0), F.col(COUNT).cast("int"))).alias("_i"))
-            model = fit_network(rows.drop("_i"), target, features)[0]
+            model = fit_network_cells(earlier, target, features)[0]
         else:
             model = fit_classifier(name, earlier, target, features, **options)
         return evaluate(model.predict(later), target).select(
@@ -284,15 +285,17 @@ def ablation(
     rows: DataFrame, train: Column, target: str, features: list[str], sets: dict[str, list[str]], max_iter: int = 120
 ) -> DataFrame:
     """Held-out scores of the net on subsets of the features; subsets under two columns are skipped."""
+    # Counted once: the cells of a subset are sums of these.
+    counted = stage(rows.groupBy(*features, target, train.alias("train")).agg(F.count(F.lit(1)).alias(COUNT)), "cells")
     tables = []
     for name, wanted in {**sets, "all_features": features}.items():
         used = [c for c in features if c in wanted]
         if len(used) < 2:
             continue
-        model, _ = fit_network(rows.filter(train), target, used, max_iter=max_iter)
-        cells = rows.filter(~train).groupBy(*used, target).agg(F.count(F.lit(1)).alias(COUNT))
+        cells = counted.groupBy(*used, target, "train").agg(F.sum(COUNT).alias(COUNT))
+        model, _ = fit_network_cells(cells.filter("train"), target, used, max_iter=max_iter)
         tables.append(
-            evaluate(model.predict(cells), target).select(
+            evaluate(model.predict(cells.filter("NOT train")), target).select(
                 F.lit(name).alias("specification"), F.lit(len(used)).alias("n_features"), "accuracy", "macro_f1"
             )
         )

@@ -11,7 +11,6 @@ from tallyspark import settings
 from tallyspark.operators import bayes, classifiers, indices, profiles, quality, regression, unsupervised
 from tallyspark.operators.cleaning import clean_and_harmonize
 from tallyspark.operators.features import model_cells
-from tallyspark.operators.sampling import in_train
 from tallyspark.operators.tables import education_frame, household_rollup, join_households, person_table
 from tallyspark.session import stage
 from tallyspark.sources.rules import RuleSet, dictionary_frame
@@ -71,9 +70,8 @@ class Survey:
 
     @cached_property
     def network(self) -> tuple[classifiers.Classifier, list[float]]:
-        """The feed-forward net on the training rows, with its loss history."""
-        rows = self.enriched.dropna(subset=["wealth_class"])
-        return classifiers.fit_network(rows.filter(in_train(["wealth_class", *settings.HOUSEHOLD_KEYS])), "wealth_class", settings.MODEL_FEATURES)
+        """The feed-forward net on the training cells, with its loss history."""
+        return classifiers.fit_network_cells(self.cells.filter("train"), "wealth_class", settings.MODEL_FEATURES)
 
     def reports(self) -> dict[str, DataFrame]:
         """Descriptive, inequality, regional, gender, education and regression tables."""
