@@ -12,7 +12,7 @@ from tallyspark.operators import bayes, classifiers, indices, profiles, quality,
 from tallyspark.operators.cleaning import clean_and_harmonize
 from tallyspark.operators.features import model_cells
 from tallyspark.operators.tables import education_frame, household_rollup, join_households, person_table
-from tallyspark.session import stage
+from tallyspark.session import PIECEWISE, ROW_GROUP, SMALL_READS, configured, stage
 from tallyspark.sources.rules import RuleSet, dictionary_frame
 from tallyspark.functions.ordered import gini
 
@@ -27,7 +27,8 @@ class Survey:
     @cached_property
     def harmonized(self) -> DataFrame:
         """The harmonised master, written once; readers scan only the columns they need."""
-        return stage(clean_and_harmonize(self.raw, self.rules), "master")
+        with configured(self.spark, PIECEWISE):
+            return stage(clean_and_harmonize(self.raw, self.rules), "master", ROW_GROUP)
 
     @cached_property
     def persons(self) -> DataFrame:
@@ -35,7 +36,9 @@ class Survey:
 
     @cached_property
     def households(self) -> DataFrame:
-        return stage(household_rollup(self.harmonized), "households")
+        rolled = household_rollup(self.harmonized)
+        with configured(self.spark, SMALL_READS):
+            return stage(rolled, "households")
 
     @cached_property
     def enriched(self) -> DataFrame:
