@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.columns import number, ratio
 from tallyspark.operators.cleaning import clean_and_harmonize
 from tallyspark.operators.quality import logical_checks
+from tallyspark.session import PIECEWISE, ROW_GROUP, configured
 from tallyspark.sources.rules import RuleSet
 
 
@@ -28,18 +29,22 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 def ingest(stream: DataFrame, rules: RuleSet, out: str, checkpoint: str) -> None:
     """Clean and harmonise what has arrived and append it by year; every step is row-local."""
-    query = (
-        clean_and_harmonize(stream, rules)
-        .writeStream.outputMode("append")
-        .partitionBy("YEAR")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .format("parquet")
-        .start(out)
-    )
-    query.awaitTermination()
-
-
+    # A file is open for each year, so that no task has to sort its rows by year first.
+    with configured(stream.sparkSession, {**PIECEWISE, "spark.sql.maxConcurrentOutputFileWriters": str(OPEN_YEARS)}):
+        query = (
+            clean_and_harmonize(stream, rules)
+            .writeStream.outputMode("append")
+            .partitionBy("YEAR")
+            .option("checkpointLocation", checkpoint)
+            .option("parquet.block.size", ROW_GROUP)
+            .trigger(availableNow=True)
+            .format("parquet")
+            .start(out)
+        )
+        query.awaitTermination()
+
+
+OPEN_YEARS = 32  # beyond them a task sorts the rest of its rows
 SKETCH_BITS = 14  # registers of a distinct sketch, as a power of two: errors of about 0.7 %
 
 

@@ -105,3 +105,17 @@ def test_stream_summaries_merge(spark, tmp_path):
     present = both.dropna(subset=["YEAR", "GEO1_VN", "AGE", "PERWT"]).groupBy("YEAR", "GEO1_VN")
     batch = present.agg((F.sum(F.col("AGE") * F.col("PERWT")) / F.sum("PERWT")).alias("m"), F.count(F.lit(1)).alias("n")).collect()
     assert means == {(r.YEAR, r.GEO1_VN): (r.m, r.n) for r in batch}
+
+
+def test_session_options_are_put_back(spark):
+    from tallyspark.session import PIECEWISE, configured
+
+    name = next(iter(PIECEWISE))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "65535")
+    try:
+        with configured(spark, {**PIECEWISE, "tallyspark.only.here": "1"}):
+            assert spark.conf.get(name) == "8000" and spark.conf.get("tallyspark.only.here") == "1"
+        assert spark.conf.get(name) == "65535" and spark.conf.get("tallyspark.only.here", None) is None
+    finally:
+        spark.conf.set(name, before)
