@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.columns import canon, number
 from tallyspark.functions.joins import skew_join
 from tallyspark.operators.profiles import normal_p_value
-from tallyspark.session import bounded_rows, new_stage_path, stage
+from tallyspark.session import SMALL_SHARES, bounded_rows, configured, new_stage_path, stage
 
 EXPLICIT_TERMS = 400
 MAX_SWEEPS = 1_000
@@ -67,6 +67,16 @@ class Plan:
         """Columns whose sums the cells hold; slot 0 is the constant."""
         return [*self.nums, self.y]
 
+    @property
+    def keys(self) -> list[str]:
+        """Columns of the absorbed factors."""
+        return list(dict.fromkeys(c for f in self.absorbed for c in f))
+
+    @property
+    def whole(self) -> bool:
+        """Whether no other column divides the cells: there is one for each combination of the absorbed columns."""
+        return set(self.keys) == set(self.cats)
+
     def terms(self) -> list[Term]:
         made = build_terms(self.levels, self.parts)
         if not self.absorbed:
@@ -150,14 +160,14 @@ def _minimum_norm(inverse: np.ndarray, scaled: np.ndarray, scale: np.ndarray) ->
     return keep @ inverse @ keep
 
 
-def _moments(rows: DataFrame, keys: list[str], values: list[str], weight: Column | None = None) -> DataFrame:
-    """Per cell the (weighted) sums ``m_i_j`` of products of values; value 0 is the constant."""
+def _moments(rows: DataFrame, keys: list[str], values: list[str], weight: Column | None = None, carried: list[str] = []) -> DataFrame:
+    """Per cell the (weighted) sums ``m_i_j`` of products of values, and columns that are the same all over it; value 0 is the constant."""
     columns = [F.lit(1.0), *[F.col(v) for v in values]]
     sums = [
         F.sum(a * b if weight is None else weight * a * b).alias(f"m_{i}_{j}")
         for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j
     ]
-    return rows.groupBy(*keys).agg(*sums)
+    return rows.groupBy(*keys).agg(*sums, *[F.max(c).alias(c) for c in carried])
 
 
 def _moment(i: int, j: int) -> str:
@@ -222,7 +232,7 @@ class Swept:
     """Level means that the absorbed factors take out of each column."""
 
     cells: DataFrame  # absorbed columns, n, and the part a_i of column i that all factors explain together
-    means: list[list[str]]  # for each factor, the tables of its sweeps: factor columns and d_i
+    means: list[list[DataFrame]]  # for each factor, the tables of its sweeps: factor columns and d_i
     shares: list[np.ndarray]  # how much of each sweep's means counts, by column
     width: int
 
@@ -250,11 +260,18 @@ def _sweep(cells: DataFrame, plan: Plan, spread: np.ndarray) -> Swept:
     the sweeps shrink, column by column, so factors that go together do not need hundreds of them.
     """
     spark = cells.sparkSession
-    keys = list(dict.fromkeys(c for f in plan.absorbed for c in f))
+    keys = plan.keys
     design = _design_sums(plan)
     every = range(len(design))
     held = cells.select(*keys, F.col("m_0_0").alias("n"), *[s.alias(f"v_{i}") for i, s in enumerate(design)])
-    held = held.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(f"v_{i}").alias(f"v_{i}") for i in every])
+    if not plan.whole:
+        held = held.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(f"v_{i}").alias(f"v_{i}") for i in every])
+    if len(plan.absorbed) == 1:
+        # The means of a single factor are those of its cells: nothing is left to sweep, and nothing to join.
+        levels = held.select(*keys, "n", *[(F.col(f"v_{i}") / F.col("n")).alias(f"a_{i}") for i in every])
+        levels = levels if plan.whole else stage(levels, "swept")
+        means = levels.select(*keys, *[F.col(f"a_{i}").alias(f"d_{i}") for i in every])
+        return Swept(levels, [[means]], [np.ones(len(design))], len(design))
     held = stage(held.select("*", *[F.lit(0.0).alias(f"{x}_{i}") for x in "ab" for i in every]), "swept")
     swept = Swept(held, [[] for _ in plan.absorbed], [], len(design))
     fixed = [*keys, "n", *[f"v_{i}" for i in every]]
@@ -267,8 +284,9 @@ def _sweep(cells: DataFrame, plan: Plan, spread: np.ndarray) -> Swept:
             )
             path = new_stage_path(spark, "means")
             found.write.parquet(path)
-            swept.means[place].append(path)
-            joined = held.join(spark.read.schema(found.schema).parquet(path), list(factor))
+            means = spark.read.schema(found.schema).parquet(path)
+            swept.means[place].append(means)
+            joined = held.join(means, list(factor))
             held = joined.select(
                 *fixed, *[(F.col(f"a_{i}") + F.col(f"d_{i}")).alias(f"a_{i}") for i in every], *[f"{x}_{i}" for x in "bo" for i in every]
             )
@@ -282,7 +300,7 @@ def _sweep(cells: DataFrame, plan: Plan, spread: np.ndarray) -> Swept:
         ).first()
         largest, along, across = (np.array([x or 0.0 for x in sums[k * len(design) : (k + 1) * len(design)]]) for k in range(3))
         swept.shares.append(np.ones(len(design)))
-        if len(plan.absorbed) == 1 or (largest / spread).max() <= SWEEP_TOLERANCE:
+        if (largest / spread).max() <= SWEEP_TOLERANCE:
             swept.cells = held
             return swept
         further = np.zeros(len(design))
@@ -308,7 +326,7 @@ def _swept_products(plan: Plan, width: int, values: int):
         carry[len(terms), slots.index(plan.y)] = 1.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((width, width))
+        acc, weight = np.zeros((width, width)), 0.0
         for pdf in batches:
             fixed = -pdf[[f"a_{i}" for i in range(width)]].to_numpy(dtype=float)
             for i, term in enumerate(terms):
@@ -323,17 +341,27 @@ def _swept_products(plan: Plan, width: int, values: int):
             acc += (fixed * n[:, None]).T @ fixed + mixed + mixed.T
             inner = np.array([[pdf[_moment(1 + i, 1 + j)].sum() for j in range(values)] for i in range(values)])
             acc += carry @ inner.reshape(values, values) @ carry.T
-        yield _upper(acc)
+            weight += n.sum()
+        yield pd.concat([_upper(acc), pd.DataFrame({"i": np.array([width], "int32"), "j": np.array([width], "int32"), "v": [weight]})])
 
     return run
 
 
-def _swept_gram(cells: DataFrame, swept: Swept, plan: Plan, width: int, values: int) -> np.ndarray:
-    keys = list(dict.fromkeys(c for f in plan.absorbed for c in f))
-    joined = cells.join(swept.cells.select(*keys, *[f"a_{i}" for i in range(width)]), keys)
-    needed = [c for c in plan.cats if c in joined.columns]
-    joined = joined.select(*needed, *[c for c in joined.columns if c.startswith(("m_", "a_"))])
-    return _gather(joined.mapInPandas(_swept_products(plan, width, values), SUM_SCHEMA), width)
+def _swept_gram(cells: DataFrame, plan: Plan, width: int, values: int) -> tuple[np.ndarray, float]:
+    """The normal equations of swept columns and the cells' whole weight, from cells that carry their means a_i."""
+    spelled = {c for t in plan.terms() for c, _ in t.levels}
+    means = {f"a_{i}" for i in range(width)}
+    cells = cells.select(*[c for c in cells.columns if c in spelled or c in means or c.startswith("m_")])
+    gram = _gather(cells.mapInPandas(_swept_products(plan, width, values), SUM_SCHEMA), width + 1)
+    return gram[:width, :width], gram[width, width]
+
+
+def _with_means(cells: DataFrame, swept: Swept, plan: Plan) -> DataFrame:
+    """Cells beside the means of their levels; where a cell is a level, they come from its own sums."""
+    every = range(swept.width)
+    if plan.whole and len(plan.absorbed) == 1:
+        return cells.select("*", *[(s / F.col("m_0_0")).alias(f"a_{i}") for i, s in enumerate(_design_sums(plan))])
+    return cells.join(swept.cells.select(*plan.keys, *[f"a_{i}" for i in every]), plan.keys)
 
 
 def _components(cells: DataFrame, left: tuple[str, ...], right: tuple[str, ...]) -> int:
@@ -353,6 +381,8 @@ def _components(cells: DataFrame, left: tuple[str, ...], right: tuple[str, ...])
 
 def _absorbed_rank(cells: DataFrame, plan: Plan) -> int:
     """Independent columns among the absorbed indicators; from a third factor on, ties are counted with the first only."""
+    if plan.whole and len(plan.absorbed) == 1:
+        return cells.count()
     rank = 0
     for place, factor in enumerate(plan.absorbed):
         rank += cells.select(*factor).distinct().count()
@@ -360,19 +390,19 @@ def _absorbed_rank(cells: DataFrame, plan: Plan) -> int:
     return rank
 
 
-def _absorbed_terms(swept: Swept, plan: Plan, beta: np.ndarray, spark) -> tuple[DataFrame, float]:
+def _absorbed_terms(swept: Swept, plan: Plan, beta: np.ndarray) -> tuple[DataFrame, float]:
     """Coefficients of the absorbed levels against each factor's lowest one, and the intercept."""
     weights = [*(-beta), 1.0]
     out, intercept = None, 0.0
-    for factor, folders in zip(plan.absorbed, swept.means):
+    for factor, tables in zip(plan.absorbed, swept.means):
         parts = None
-        for folder, shares in zip(folders, swept.shares):
+        for means, shares in zip(tables, swept.shares):
             effect = F.lit(0.0)
             for i, w in enumerate(weights):
                 effect = effect + F.col(f"d_{i}") * float(w * shares[i])
-            part = spark.read.parquet(folder).select(*factor, effect.alias("effect"))
+            part = means.select(*factor, effect.alias("effect"))
             parts = part if parts is None else parts.unionByName(part)
-        effects = stage(parts.groupBy(*factor).agg(F.sum("effect").alias("effect")), "effects")
+        effects = parts if len(tables) == 1 else stage(parts.groupBy(*factor).agg(F.sum("effect").alias("effect")), "effects")
         order = [x for c in factor for x in (F.col(c).try_cast("double").asc_nulls_last(), F.col(c))]
         base = effects.orderBy(*order).first()
         intercept += base["effect"]
@@ -390,10 +420,20 @@ def _absorbed_terms(swept: Swept, plan: Plan, beta: np.ndarray, spark) -> tuple[
 
 def _plan(cells: DataFrame, plan: Plan, absorb: list[str]) -> Plan:
     """Absorbs what is asked for, and the largest factors until the rest can be spelled out."""
-    levels: dict[str, list[str]] = {c: [] for c in plan.cats}
+    plan.absorbed = [tuple(p.strip() for p in a.split("*")) for a in absorb]
+
+    def spelled() -> list[str]:
+        """Parts with something left to spell out."""
+        return [p for p in plan.parts if not _columns_of(p) or not any(set(_columns_of(p)) <= set(f) for f in plan.absorbed)]
+
+    # Levels matter where they may be spelled out; those of absorbed factors alone are not even counted.
+    open_cats = list(dict.fromkeys(c for p in spelled() for c in _columns_of(p)))
+    levels: dict[str, list[str]] = {c: [] for c in open_cats}
     counts = {}
-    if plan.cats:
-        seen = cells.unpivot([], plan.cats, "c", "v").distinct()
+    if plan.cats and not open_cats and cells.isEmpty():
+        raise ValueError("no complete rows to fit")
+    if open_cats:
+        seen = cells.unpivot([], open_cats, "c", "v").distinct()
         rows = seen.limit(EXPLICIT_TERMS + 1).collect()
         if not rows:
             raise ValueError("no complete rows to fit")
@@ -403,11 +443,6 @@ def _plan(cells: DataFrame, plan: Plan, absorb: list[str]) -> Plan:
             for row in rows:
                 levels[row["c"]].append(row["v"])
             counts = {c: len(v) for c, v in levels.items()}
-    plan.absorbed = [tuple(p.strip() for p in a.split("*")) for a in absorb]
-
-    def spelled() -> list[str]:
-        """Parts with something left to spell out."""
-        return [p for p in plan.parts if not _columns_of(p) or not any(set(_columns_of(p)) <= set(f) for f in plan.absorbed)]
 
     def size(part: str) -> int:
         levels = [counts[c] for c in _columns_of(part)]
@@ -436,6 +471,11 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "", absorb: li
     terms the largest factors are absorbed on their own. Absorbed levels have coefficients but no errors.
     The frame is read twice and should be a stored table.
     """
+    with configured(df.sparkSession, SMALL_SHARES):
+        return _fit(df, y, parts, model, absorb)
+
+
+def _fit(df: DataFrame, y: str, parts: list[str], model: str, absorb: list[str]) -> DataFrame:
     swept_columns = [c.strip() for a in absorb for c in a.split("*")]
     cats, nums = _factors(parts)
     cats = list(dict.fromkeys([*cats, *swept_columns]))
@@ -448,7 +488,7 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "", absorb: li
     plan = _plan(cells, plan, absorb)
     terms = plan.terms()
     size, slots = len(terms), plan.slots
-    swept = None
+    swept, means = None, []
     if plan.absorbed:
         found = cells.agg(F.sum("m_0_0"), F.sum(_moment(0, len(slots))), F.sum(_moment(len(slots), len(slots)))).first()
         n, total, total_squared = found
@@ -456,7 +496,7 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "", absorb: li
         found = cells.agg(*[F.sum(s).alias(f"q_{i}") for i, s in enumerate([*squares, F.col(_moment(len(slots), len(slots)))])]).first()
         raw = np.array([found[i] or 0.0 for i in range(size + 1)])
         swept = _sweep(cells, plan, np.sqrt(np.maximum(raw / n, 1e-300)))
-        gram = _swept_gram(cells, swept, plan, size + 1, len(slots))
+        gram, _ = _swept_gram(_with_means(cells, swept, plan), plan, size + 1, len(slots))
         # A column that the absorbed factors span is left with rounding noise only.
         gone = np.flatnonzero(np.diag(gram)[:size] <= SPANNED * raw[:size])
         gram[gone, :] = gram[:, gone] = 0.0
@@ -477,18 +517,17 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "", absorb: li
     rows = frame
     if swept is not None:
         rank += _absorbed_rank(cells, plan)
-        keys = list(dict.fromkeys(c for f in plan.absorbed for c in f))
         part = F.col(f"a_{size}")
         for i, b in enumerate(beta):
             part = part - F.col(f"a_{i}") * float(b)
-        levels = swept.cells.select(*keys, part.alias("_level"), F.col("n").alias("_size"))
-        rows = skew_join(frame, levels, keys, "_size", "inner")
+        means = [f"a_{i}" for i in range(size)]
+        levels = swept.cells.select(*plan.keys, *means, part.alias("_level"), F.col("n").alias("_size"))
+        rows = skew_join(frame, levels, plan.keys, "_size", "inner")
         error = error - F.col("_level")
-    squared = _moments(rows.withColumn("_e", error), cats, nums, F.col("_e") * F.col("_e"))
+    # The join leaves a cell's rows together, and the sums take its level's means along: no second join.
+    squared = _moments(rows.withColumn("_e", error), cats, nums, F.col("_e") * F.col("_e"), means)
     if swept is not None:
-        squared = stage(squared, "errors")
-        ssr = squared.agg(F.sum("m_0_0")).first()[0]
-        second = _swept_gram(squared, swept, plan, size, len(nums))
+        second, ssr = _swept_gram(squared, plan, size, len(nums))
         second[gone, :] = second[:, gone] = 0.0
     else:
         second = _pair_sums(squared, plan, nums, False)
@@ -508,7 +547,7 @@ def ols_hc1(df: DataFrame, y: str, parts: list[str], model: str = "", absorb: li
     spark = df.sparkSession
     if swept is None:
         return spark.createDataFrame(out, COEFFICIENT_SCHEMA)
-    effects, intercept = _absorbed_terms(swept, plan, beta, spark)
+    effects, intercept = _absorbed_terms(swept, plan, beta)
     out.insert(0, ("Intercept", float(intercept), None, None, None, None, model or y, int(n), float(r2), float(adjusted)))
     constants = {"model": F.lit(model or y), "nobs": F.lit(int(n)).cast("bigint"), "r_squared": F.lit(float(r2)), "adj_r_squared": F.lit(float(adjusted))}
     empty = {c: F.lit(None).cast("double") for c in ("std_error", "p_value", "ci_lower", "ci_upper")}

@@ -126,3 +126,24 @@ def test_empty_and_missing_rows(spark):
     for parts in (["x"], ["x", "C(a)"]):
         with pytest.raises(ValueError):
             ols_hc1(empty, "y", parts)
+
+
+def test_one_absorbed_factor_stores_only_its_cells(spark, monkeypatch):
+    """Means of a single factor come from its cells: no table of sweeps, errors or effects is written, and only rows meet their level."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"h": rng.integers(0, 90, 500), "x": rng.normal(size=500)})
+    pdf["k"], pdf["y"] = pdf["h"] % 4, pdf["x"] * 0.4 + pdf["h"] * 0.1 + rng.normal(size=500)
+    pdf.loc[:3, "x"] = np.nan
+    stored, joins = [], []
+    keep, gather = regression.stage, regression._gather
+    monkeypatch.setattr(regression, "stage", lambda df, name, *more: stored.append(name) or keep(df, name, *more))
+    monkeypatch.setattr(regression, "new_stage_path", lambda *_: pytest.fail("a table of means is written"))
+    monkeypatch.setattr(regression, "_gather", lambda sums, size: joins.append("Join" in sums._jdf.queryExecution().toString()) or gather(sums, size))
+    df = spark.createDataFrame(pdf.astype({"h": str, "k": str})).unionByName(spark.createDataFrame([(None, 1.0, "1", 2.0)], "h string, x double, k string, y double"))
+    got = ols_hc1(df, "y", ["x"], absorb=["k*h"]).toPandas().set_index("term")
+    assert stored == ["cells"] and joins == [False, True]
+    kept = pdf.dropna()
+    beta, se, r2 = hc1(np.column_stack([np.ones(len(kept)), kept["x"], indicators(kept["h"])]), kept["y"].to_numpy())
+    assert got.loc["x", ["coefficient", "std_error"]].to_numpy(float) == pytest.approx([beta[1], se[1]], rel=1e-6)
+    assert got["r_squared"].iloc[0] == pytest.approx(r2) and len(got) == kept["h"].nunique() + 1
+    assert got.loc["Intercept", "coefficient"] == pytest.approx(kept[kept["h"] == kept[kept["k"] == 0]["h"].pipe(lambda h: min(h, key=int))].pipe(lambda g: (g["y"] - beta[1] * g["x"]).mean()))
