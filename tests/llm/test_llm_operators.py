@@ -478,3 +478,53 @@ def test_near_duplicates_of_large_families(spark, monkeypatch, docs_of_block, ti
     got = {r.doc_id: (r.class_id, r.n_links) for r in members.collect()}
     assert got == {i: (0 if i < 1_000 else i - i % 2, degree[i]) for i in sets}
     assert {(r.a, r.b) for r in listed.collect()} == {(a, b) for a, b in links if a < b and b != 900}  # 900 is a copy
+
+
+def test_passages_of_a_crowd_are_found_by_their_grams():
+    """In one large signature only rows that share rare 5-grams are compared, with the links that comparing all rows gives."""
+    rng = np.random.default_rng(6)
+    line = rng.integers(1, 2**15, 20) * 2 + 1
+    rows = []
+    for _ in range(300):
+        row = rng.integers(1, 2**15, 91) * 2 + 1
+        row[36:56] = line
+        rows.append(row)
+        if rng.random() < 0.3:
+            near = row.copy()
+            for at in rng.choice([k for k in range(91) if not 36 <= k < 56], rng.integers(0, 8), replace=False):
+                near[at] = 1
+            moved = rng.integers(0, 3)
+            rows += [near, np.concatenate((row[:60], row[60 + moved :], rng.integers(1, 2**15, moved) * 2 + 1))]
+        if rng.random() < 0.2:
+            rows.append(np.where(np.arange(91) < rng.integers(0, 46), 0, row))
+    around = np.array(rows, dtype=np.uint16)[rng.permutation(len(rows))]
+    want, compared = set(), []
+    keep = passages.same_passages
+    reps = []
+    for i in range(len(around)):
+        low, high = keep(around[i:][: len(around) - i], np.broadcast_to(around[i], (len(around) - i, 91)))
+        old = [r for r in reps if keep(around[i : i + 1], around[r : r + 1])[0][0] >= 0]
+        reps += [] if old else [i]
+    for r in reps:
+        low, high = keep(around, np.broadcast_to(around[r], around.shape))
+        want |= {(r, int(i), int(low[i]), int(high[i])) for i in np.flatnonzero(low >= 0) if i not in reps and (r or i)}
+    passages.same_passages = lambda a, b, *more: compared.append(len(a)) or keep(a, b, *more)
+    try:
+        links, kept = passages.group_links(np.zeros(len(around), np.int64), np.arange(len(around)), around)
+    finally:
+        passages.same_passages = keep
+    assert {tuple(map(int, x)) for x in links if x[0] != x[1]} == want and list(np.flatnonzero(kept)) == reps
+    assert len(want) > 100 and sum(compared) < 4 * len(around)
+
+
+def test_passages_that_begin_anywhere_are_counted_as_one_by_one():
+    rng = np.random.default_rng(7)
+    for kinds in (3, 40, 2_000):
+        x, y = (rng.integers(0, kinds, (60, 91)) * 2 + 1 for _ in range(2))
+        for k in range(60):
+            y[k, 5 : 5 + k] = x[k, :k] if k % 2 else x[k, 5 : 5 + k]
+        x, y = (np.where(rng.random(v.shape) < 0.02, 0, v).astype(np.uint16) for v in (x, y))
+        got = passages._occurring(x, y, 46)
+        for k in range(60):
+            equal = (x[k][:, None] == y[k][None, :]) & (y[k] != 0)
+            assert got[k].tolist() == [equal[s : s + 46, s : s + 46].any(axis=1).sum() for s in range(46)]
