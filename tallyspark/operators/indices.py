@@ -180,11 +180,11 @@ def household_indices(
 def wealth_class(df: DataFrame, score: str, by: list[str] = ["YEAR"], low: float = 0.3, high: float = 0.7) -> DataFrame:
     """poor / middle / rich at the 30 % and 70 % points of each group; null score, null class.
 
-    The two cut points per group are joined without a hint: they are read from a staged
-    file, so the planner broadcasts them by their true size.
+    The two cut points per group are broadcast up to ``MAX_GROUPS``, whatever the session's limit is: a shuffle by so
+    few keys would put a whole year into one task.
     """
     cuts = stage(exact_quantiles(df, by, score, {"_low": low, "_high": high}), "cuts")
-    classed = df.join(cuts, by, "left")
+    classed = df.join(F.broadcast(cuts) if cuts.count() <= MAX_GROUPS else cuts, by, "left")
     label = (
         F.when(F.col(score).isNull(), F.lit(None))
         .when(F.col(score) <= F.col("_low"), "poor")

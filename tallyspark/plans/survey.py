@@ -12,7 +12,7 @@ from tallyspark.operators import bayes, classifiers, indices, profiles, quality,
 from tallyspark.operators.cleaning import clean_and_harmonize
 from tallyspark.operators.features import model_cells
 from tallyspark.operators.tables import education_frame, household_rollup, join_households, person_table
-from tallyspark.session import PIECEWISE, ROW_GROUP, SMALL_READS, configured, stage
+from tallyspark.session import PIECEWISE, ROW_GROUP, SMALL_READS, SMALL_SHARES, configured, stage
 from tallyspark.sources.rules import RuleSet, dictionary_frame
 from tallyspark.functions.ordered import gini
 
@@ -27,7 +27,7 @@ class Survey:
     @cached_property
     def harmonized(self) -> DataFrame:
         """The harmonised master, written once; readers scan only the columns they need."""
-        with configured(self.spark, PIECEWISE):
+        with configured(self.spark, PIECEWISE | SMALL_READS | SMALL_SHARES):
             return stage(clean_and_harmonize(self.raw, self.rules), "master", ROW_GROUP)
 
     @cached_property
@@ -37,18 +37,21 @@ class Survey:
     @cached_property
     def households(self) -> DataFrame:
         rolled = household_rollup(self.harmonized)
-        with configured(self.spark, SMALL_READS):
+        with configured(self.spark, SMALL_READS | SMALL_SHARES):
             return stage(rolled, "households")
 
     @cached_property
     def enriched(self) -> DataFrame:
         """Households with wealth index, class and housing-quality index."""
-        return stage(indices.household_indices(self.households), "enriched")
+        with configured(self.spark, SMALL_SHARES):
+            return stage(indices.household_indices(self.households), "enriched")
 
     @cached_property
     def persons_with_wealth(self) -> DataFrame:
         """The one join of persons and households; eight analyses read its result."""
-        return stage(join_households(self.persons, self.enriched, ["wealth_index", "wealth_class", "URBAN_H"]), "persons")
+        joined = join_households(self.persons, self.enriched, ["wealth_index", "wealth_class", "URBAN_H"])
+        with configured(self.spark, SMALL_SHARES):
+            return stage(joined, "persons")
 
     @cached_property
     def education(self) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tallyspark.operators.indices import wealth_class
 from tallyspark.operators.regression import ols_hc1
 from tallyspark.operators.unsupervised import isolation_forest
 from tallyspark.sources import loose_csv, rules
@@ -66,3 +67,20 @@ def test_isolation_forest_scores_rows_where_they_lie(spark):
     got = {r.k: r for r in flagged.collect()}
     assert len(got) == len(rows) and all(got[1_000 + k].is_anomaly == 1 for k in range(6))
     assert got[1].anomaly_score == got[71].anomaly_score and got[50].y is None and 0 < got[50].anomaly_score < got[1_000].anomaly_score
+
+
+def test_wealth_classes_are_not_dealt_by_year(spark):
+    """A few groups would be a few tasks; their cut points reach all rows even where the planner may not broadcast."""
+    rows = [(y, float(k)) for y in (1, 2) for k in range(11)] + [(1, None), (None, 5.0)]
+    df = spark.createDataFrame(rows, "YEAR int, score double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        classed = wealth_class(df, "score")
+        plan = classed._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        got = [(r.YEAR, r.score, r.wealth_class) for r in classed.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    label = lambda y, v: None if v is None else "rich" if y is None or v > 7 else "poor" if v <= 3 else "middle"
+    assert sorted(got, key=str) == sorted([(y, v, label(y, v)) for y, v in rows], key=str)

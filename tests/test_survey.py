@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tallyspark import session
 from tallyspark.plans.census import CENSUS_RULES, read_census, survey
 from tallyspark.plans.survey import Survey
 from tests_support import compare, connect
@@ -48,3 +49,20 @@ def test_run_summary_counts_what_ran(spark):
     tables.bayes_network
     some = tables.run_summary().first()
     assert (some.traditional_models_run, some.deep_learning_components_run, some.bayesian_network_run) == (1, 0, 1)
+
+
+def test_tables_divide_their_shuffles_by_size(spark, monkeypatch):
+    """However few partitions a session deals, a stored table's tasks take a bounded share; the session is left as it was."""
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "20k"}
+    for name, value in small.items():
+        monkeypatch.setitem(session.SMALL_SHARES, name, value)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        tables = Survey(read_census(spark, FOLDER), CENSUS_RULES)
+        for table in (tables.harmonized, tables.households):
+            assert len(table.inputFiles()) > 2
+        tables.enriched, tables.persons_with_wealth, tables.cells
+        assert all(spark.conf.get(name, None) != value for name, value in small.items())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
