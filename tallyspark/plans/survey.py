@@ -37,20 +37,20 @@ class Survey:
     @cached_property
     def households(self) -> DataFrame:
         rolled = household_rollup(self.harmonized)
-        with configured(self.spark, SMALL_READS | SMALL_SHARES):
+        with configured(self.spark, PIECEWISE | SMALL_READS | SMALL_SHARES):
             return stage(rolled, "households")
 
     @cached_property
     def enriched(self) -> DataFrame:
         """Households with wealth index, class and housing-quality index."""
-        with configured(self.spark, SMALL_SHARES):
+        with configured(self.spark, PIECEWISE | SMALL_SHARES):
             return stage(indices.household_indices(self.households), "enriched")
 
     @cached_property
     def persons_with_wealth(self) -> DataFrame:
         """The one join of persons and households; eight analyses read its result."""
         joined = join_households(self.persons, self.enriched, ["wealth_index", "wealth_class", "URBAN_H"])
-        with configured(self.spark, SMALL_SHARES):
+        with configured(self.spark, PIECEWISE | SMALL_SHARES):
             return stage(joined, "persons")
 
     @cached_property

@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tallyspark import session
 from tallyspark.plans.census import CENSUS_RULES, read_census, survey
+from tallyspark.plans import survey as plan
 from tallyspark.plans.survey import Survey
 from tests_support import compare, connect
 
@@ -66,3 +67,17 @@ def test_tables_divide_their_shuffles_by_size(spark, monkeypatch):
         assert all(spark.conf.get(name, None) != value for name, value in small.items())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_wide_tables_run_piecewise(spark, monkeypatch):
+    """Tables with many computed columns are not fused into methods that the JVM leaves unoptimised."""
+    limit, seen = "spark.sql.codegen.hugeMethodLimit", {}
+    keep, before = plan.stage, spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    monkeypatch.setattr(plan, "stage", lambda df, name, *more: seen.update({name: spark.conf.get(limit)}) or keep(df, name, *more))
+    spark.conf.set(limit, "65535")
+    try:
+        tables = Survey(read_census(spark, FOLDER), CENSUS_RULES)
+        tables.persons_with_wealth
+        assert seen == dict.fromkeys(("master", "households", "enriched", "persons"), "8000") and spark.conf.get(limit) == "65535"
+    finally:
+        spark.conf.set(limit, before)
