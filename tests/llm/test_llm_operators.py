@@ -528,3 +528,136 @@ def test_passages_that_begin_anywhere_are_counted_as_one_by_one():
         for k in range(60):
             equal = (x[k][:, None] == y[k][None, :]) & (y[k] != 0)
             assert got[k].tolist() == [equal[s : s + 46, s : s + 46].any(axis=1).sum() for s in range(46)]
+
+
+def variants(rng):
+    """Four rows of 5-grams in which only neighbours are like each other."""
+    rows = [rng.integers(1, 2**15, 91) * 2 + 1]
+    for k in range(3):
+        row = rows[-1].copy()
+        row[(3 * k) % 10 :: 10] = rng.integers(1, 2**15, len(row[(3 * k) % 10 :: 10])) * 2 + 1
+        rows.append(row)
+    rows = np.array(rows, dtype=np.uint16)
+    like = [[bool(passages.same_passages(rows[a : a + 1], rows[b : b + 1])[0][0] >= 0) for b in range(4)] for a in range(4)]
+    assert like == [[abs(a - b) < 2 for b in range(4)] for a in range(4)]
+    return rows
+
+
+def test_passages_like_no_representative_are_linked(spark):
+    """Two documents that are like different earlier ones, and like each other, connect them, also over many batches."""
+    rows = variants(np.random.default_rng(8))
+    schema = "signature long, id long, at int, around binary"
+    one = [(1, i, 50, rows[k].tobytes()) for i, k in enumerate((0, 3, 1, 2))]
+    # Document 1 is like the first; only the last is like it alone.
+    two = [(2, 10 + i, 50, rows[k].tobytes()) for i, k in enumerate([0, 1] + [0] * 100 + [2])]
+    limit, size = passages.HELD_ROWS, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    passages.HELD_ROWS = 30
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+        links = passages._linked(spark.createDataFrame(one + two, schema)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        passages.HELD_ROWS = limit
+    root = {r.node: r.root for r in components.components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).collect()}
+    assert root == {i: 0 for i in range(4)} | {10 + i: 10 for i in range(103)}
+    assert {(r.start_b, r.end_b) for r in links if r.b not in (2, 3)} == {(5, 100)}
+
+
+def crowd(rng, n):
+    """Rows around one repeated word, that begin and end anywhere."""
+    rows = rng.integers(1, 2**15, (n, 91)) * 2 + 1
+    for row in rows:
+        left, right = rng.integers(0, 46, 2)
+        row[45 - left : 46 + right] = 7
+    return rows
+
+
+def all_pairs(group, low, high, around, either):
+    """First and last place that repeat in another document, and connected rows, by comparing every pair; a row that repeats
+    5-grams may be like another one only as seen from one side."""
+    first, last, up = np.full(len(group), 46), np.full(len(group), -1), np.arange(len(group))
+    a, b = np.triu_indices(len(group), 1)
+    some = (group[a] == group[b]) & ~((low[a] == high[b]) & (high[a] == low[b]))
+    a, b = a[some], b[some]
+    for k in range(0, len(a), 20_000):
+        x, y = a[k : k + 20_000], b[k : k + 20_000]
+        (l1, h1), (l2, h2) = passages.same_passages(around[x], around[y]), passages.same_passages(around[y], around[x])
+        if either:
+            like = (l1 >= 0) | (l2 >= 0)
+            lows, highs = np.minimum(np.where(l1 < 0, 46, l1), np.where(l2 < 0, 46, l2)), np.maximum(h1, h2)
+        else:
+            like, lows, highs = (l1 >= 0) & (l2 >= 0), np.maximum(l1, l2), np.minimum(h1, h2)
+        for r in (x, y):
+            np.minimum.at(first, r[like], lows[like])
+            np.maximum.at(last, r[like], highs[like])
+        up = passages._joined(up, x[like], y[like])
+    whole = (low < high) & (around != 0).all(axis=1)
+    return np.where(whole, 0, first), np.where(whole, 45, last), up
+
+
+def test_passages_of_signatures_are_those_of_all_pairs():
+    rng = np.random.default_rng(9)
+    for posted in (2, passages.POSTED_ROWS):
+        rows, group = [], []
+        for g, n in enumerate((2, 3, 12, 60, 250, 250)):
+            if g == 4:
+                rows += list(crowd(rng, n))
+            else:
+                shared = rng.integers(1, 2**15, (3, 91)) * 2 + 1
+                for _ in range(n):
+                    row = shared[rng.integers(0, 3)].copy()
+                    at, moved = rng.integers(46, 86), rng.integers(0, 3)
+                    row = np.concatenate((row[:at], rng.integers(1, 2**15, moved) * 2 + 1, row[at:]))[:91]
+                    for _ in range(rng.integers(0, 3)):
+                        at = rng.integers(0, 87)
+                        row[at : at + 5] = rng.integers(1, 2**15, len(row[at : at + 5])) * 2 + 1
+                    own = rng.integers(0, 45)
+                    row[:own] = rng.integers(1, 2**15, own) * 2 + 1
+                    rows.append(row)
+            group += [g] * n
+        around, group = np.array(rows, dtype=np.uint32), np.array(group)
+        low = rng.integers(0, 200, len(rows))
+        high = np.where(rng.random(len(rows)) < 0.05, low + 1, low)
+        keep = passages.POSTED_ROWS
+        passages.POSTED_ROWS = posted
+        try:
+            found = passages._Signatures(group, low, high, np.ones(len(rows), np.int64), around)
+            found.run()
+        finally:
+            passages.POSTED_ROWS = keep
+        (first, last, up), (less, more, joined) = (all_pairs(group, low, high, around, either) for either in (False, True))
+        assert ((less <= found.first) & (found.first <= first)).all() and ((last <= found.last) & (found.last <= more)).all()
+        assert ((joined <= found.label) & (found.label <= up)).all()
+        assert (less < first).mean() < 0.02 and (last < more).mean() < 0.02 and (joined < up).mean() < 0.02
+        assert 10 < (last < 0).sum() < len(rows) / 2
+
+
+def test_a_crowd_is_compared_in_proportion_to_its_rows():
+    compared, counts = [], []
+    keep = passages.same_passages
+    passages.same_passages = lambda a, b, *more: compared.append(len(a)) or keep(a, b, *more)
+    try:
+        for n in (500, 2_000):
+            around, none = crowd(np.random.default_rng(10), n).astype(np.uint32), np.zeros(n, np.int64)
+            compared.clear()
+            passages._Signatures(none, np.arange(n), np.arange(n), none + 1, around).run()
+            counts.append(sum(compared) / n)
+        compared.clear()
+        passages.group_links(none, np.arange(n), around.astype(np.uint16))
+    finally:
+        passages.same_passages = keep
+    assert max(counts) < 10 < sum(compared) / n
+
+
+def test_words_around_an_anchor_make_its_grams():
+    rng = np.random.default_rng(11)
+    words = rng.integers(1, 9, (50, 95)).astype(np.uint16)
+    words[:10, :40], words[10:20, 60:] = 0, 0
+    grams = passages._grams_of(words, np.arange(50))
+    as_tuples = {tuple(words[i, p : p + 5]): set() for i in range(50) for p in range(91)}
+    for i in range(50):
+        for p in range(91):
+            as_tuples[tuple(words[i, p : p + 5])].add(int(grams[i, p]))
+    assert all(len(v) == 1 and (v == {0}) == (0 in k) for k, v in as_tuples.items())
+    assert len({v for x in as_tuples.values() for v in x}) == sum(0 not in k for k in as_tuples) + 1
+    assert passages._grams_of(grams, np.arange(5)[::-1]).tolist() == grams[4::-1].tolist()
